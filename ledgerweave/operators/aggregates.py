@@ -11,6 +11,10 @@ from ledgerweave.functions.columns import to_units
 from ledgerweave.operators.hotkeys import MIN_SLICE_ROWS, KeyedOrder
 
 
+# Sketches are first merged into this many, then into one.
+_SKETCH_GROUPS = 64
+
+
 def account_flow(
     accounts: DataFrame,
     tx: DataFrame,
@@ -130,7 +134,7 @@ def fee_percentile(
     histogram = msg.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     histogram = histogram.filter(F.col(value).isNotNull())
     ordered = KeyedOrder(histogram, keys, [value], (), min_slice_rows)
-    ordered = ordered.running_sum("_upto", F.col("_n")).total("_all", F.col("_n"))
+    ordered = ordered.sums({"_upto": F.col("_n")}, {"_all": F.col("_n")})
     place = F.lit(float(p)) * (F.col("_all") - 1)
     holds_low = (F.col("_upto") > F.floor(place)) & (F.col("_upto") - F.col("_n") <= F.floor(place))
     holds_high = (F.col("_upto") > F.ceil(place)) & (F.col("_upto") - F.col("_n") <= F.ceil(place))
@@ -150,12 +154,19 @@ def heavy_destinations(
 ) -> DataFrame:
     """Approximate most frequent destinations, equals of the last place included.
 
-    One sketch of fixed size per task; exact while there are no more than ``tracked``
-    distinct destinations. What is ranked afterwards is the sketch's content, at most
-    ``tracked`` rows.
+    Sketches of fixed size, merged in two steps so that no task receives one from every map
+    task; exact while there are no more than ``tracked`` distinct destinations. What is
+    ranked afterwards is the sketch's content, at most ``tracked`` rows.
     """
-    sketch = F.expr(f"approx_top_k({destination}, {int(tracked)}, {int(tracked)})")
-    listed = msg.agg(sketch.alias("top")).select(F.inline("top"))
+    tracked = int(tracked)
+    sketches = (
+        msg.select(destination, (F.spark_partition_id() % _SKETCH_GROUPS).alias("_group"))
+        .groupBy("_group")
+        .agg(F.expr(f"approx_top_k_accumulate(`{destination}`, {tracked})").alias("sketch"))
+    )
+    merged = sketches.agg(F.expr("approx_top_k_combine(sketch)").alias("sketch"))
+    top = F.expr(f"approx_top_k_estimate(sketch, {tracked})")
+    listed = merged.select(F.inline(top))
     place = F.rank().over(Window.orderBy(F.col("count").desc()))
     return (
         listed.withColumn("_place", place)

@@ -14,11 +14,13 @@ bound is what makes it safe to broadcast the per-slice tables.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from ledgerweave.session import shuffle_width, written
 
@@ -28,6 +30,9 @@ MIN_SLICE_ROWS = 1_000_000
 SAMPLE_PER_SLICE = 50
 
 SLICE = "_slice"
+# True on rows of hot keys. Filters use this and not SLICE: the optimizer would move a filter
+# on SLICE below the search and repeat the search inside it.
+CUT = "_slice_cut"
 _AT = "_slice_at"
 _BOUNDS = "_slice_bounds"
 _KEY = "_slice_key_"
@@ -48,27 +53,47 @@ def find_hot_keys(
 ) -> HotKeys | None:
     """Keys with more than two slices' worth of rows, or None.
 
-    One count for small inputs. Otherwise one aggregation on the key columns, combined on
-    the map side; only the hot keys come back, fewer than half the shuffle partitions.
+    One aggregation over the key columns alone, combined on the map side. What comes back
+    are the largest keys, as many as could possibly be hot: half the shuffle partitions.
     """
     spark = df.sparkSession
-    total = df.count()
-    share = max(min_slice_rows, math.ceil(total / shuffle_width(spark)))
-    if total <= 2 * share:
-        return None
+    width = shuffle_width(spark)
+    if not keys:
+        total = df.count()
+        share = max(min_slice_rows, math.ceil(total / width))
+        if total <= 2 * share:
+            return None
+        slices = math.ceil(total / share)
+        table = spark.createDataFrame([(total, slices)], "_rows bigint, _slices int")
+        return HotKeys((), table, total, slices)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = counts.filter(F.col("_rows") > 2 * share).withColumn(
-        "_slices", F.ceil(F.col("_rows") / share).cast("int")
+    largest = counts.orderBy(F.col("_rows").desc()).limit(max(1, width // 2))
+    everything = counts.agg(F.sum("_rows").alias("_rows"))
+    # one job: both branches read the same shuffle of counts
+    listed = (
+        largest.withColumn("_key", F.lit(True))
+        .unionByName(everything.withColumn("_key", F.lit(False)), allowMissingColumns=True)
+        .select(*keys, "_rows", "_key")
+        .collect()
     )
-    found = hot.collect()
+    total = sum(row["_rows"] or 0 for row in listed if not row["_key"])
+    share = max(min_slice_rows, math.ceil(total / width))
+    found = [
+        (*row[: len(keys)], row["_rows"], math.ceil(row["_rows"] / share))
+        for row in listed
+        if row["_key"] and row["_rows"] > 2 * share
+    ]
     if not found:
         return None
-    table = spark.createDataFrame(found, hot.schema)
+    schema = T.StructType(
+        [df.schema[key] for key in keys]
+        + [T.StructField("_rows", T.LongType()), T.StructField("_slices", T.IntegerType())]
+    )
     return HotKeys(
         tuple(keys),
-        table,
-        sum(row["_rows"] for row in found),
-        sum(row["_slices"] for row in found),
+        spark.createDataFrame(found, schema),
+        sum(row[-2] for row in found),
+        sum(row[-1] for row in found),
     )
 
 
@@ -107,7 +132,8 @@ def _slice_bounds(df: DataFrame, order: Sequence[str], hot: HotKeys) -> DataFram
     Written once, so that every later reading of the rows cuts at the same places.
     """
     keys = hot.keys
-    rows = df.select(*keys, F.struct(*order).alias(_AT))
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    rows = df.select(*keys, at.alias(_AT))
     if keys:
         listed = F.broadcast(_renamed(hot.table.select(*keys, "_slices"), keys))
         rows = _drop_renamed(rows.join(listed, _same_keys(keys)), keys)
@@ -128,16 +154,25 @@ def _slice_bounds(df: DataFrame, order: Sequence[str], hot: HotKeys) -> DataFram
     return written(bounds, "slice-bounds")[0]
 
 
-def _count_at_or_before(bounds: Column, at: Column, most: int) -> Column:
-    """How many of the sorted ``bounds`` are <= ``at``, by halving steps."""
-    steps = [1 << bit for bit in range(max(1, most.bit_length()) - 1, -1, -1)]
+def _with_slice(df: DataFrame, order: Sequence[str], most: int) -> DataFrame:
+    """Adds CUT, and SLICE: 0 without bounds, else one more than the bounds at or before.
 
-    def advance(reached: Column, step: Column) -> Column:
-        target = reached + step
-        fits = (target <= F.size(bounds)) & (F.get(bounds, target - 1) <= at)
-        return F.when(fits, target).otherwise(reached)
-
-    return F.aggregate(F.array(*[F.lit(step) for step in steps]), F.lit(0), advance)
+    A search by halving, one projection per step. Each step is compiled; a search inside a
+    higher-order function would be interpreted for every row.
+    """
+    at = F.col(order[0]) if len(order) == 1 else F.col(_AT)
+    if len(order) > 1:
+        df = df.withColumn(_AT, F.struct(*order))
+    df = df.withColumn(SLICE, F.lit(0))
+    for bit in range(max(1, most.bit_length()) - 1, -1, -1):
+        target = F.col(SLICE) + (1 << bit)
+        bound = F.get(_BOUNDS, target - 1)
+        # past the last bound this is null, and so not passed
+        passed = bound <= at
+        df = df.withColumn(SLICE, F.when(passed, target).otherwise(F.col(SLICE)))
+    number = F.when(F.col(_BOUNDS).isNull(), 0).otherwise(F.col(SLICE) + 1)
+    cut = F.col(_BOUNDS).isNotNull()
+    return df.withColumns({SLICE: number, CUT: cut}).drop(_BOUNDS, _AT)
 
 
 class KeyedOrder:
@@ -145,10 +180,11 @@ class KeyedOrder:
 
     ``order`` decides where slices may be cut: rows equal on key and order stay together.
     ``tie`` only adds to the sort within a slice. Without keys the whole table is one
-    order. Each method returns a new object whose ``df`` has one more column.
+    order. Each method returns a new object whose ``df`` has more columns.
 
-    A running result reads its input a second time to learn the slices' totals, so ``df``
-    must give the same rows each time; pass a written table if it does not.
+    Where keys are cut, a result reads its input again to learn what each slice adds, so
+    ``df`` must give the same rows each time; pass a written table if it does not, or if it
+    is expensive to compute.
     """
 
     def __init__(
@@ -162,108 +198,110 @@ class KeyedOrder:
         self.keys = list(keys)
         self.order = list(order)
         self.tie = list(tie)
-        hot = find_hot_keys(df, self.keys, min_slice_rows)
-        self.sliced = hot is not None
-        if hot is None:
+        self.hot = find_hot_keys(df, self.keys, min_slice_rows)
+        if self.hot is None:
             self.df = df
             return
-        bounds = _slice_bounds(df, self.order, hot)
-        at = F.struct(*self.order)
+        bounds = _slice_bounds(df, self.order, self.hot)
         if self.keys:
             listed = F.broadcast(_renamed(bounds, self.keys))
             placed = _drop_renamed(df.join(listed, _same_keys(self.keys), "left"), self.keys)
         else:
             placed = df.withColumn(_BOUNDS, bounds.select(_BOUNDS).scalar())
-        before = _count_at_or_before(F.col(_BOUNDS), at, hot.slices)
-        self.df = placed.withColumn(
-            SLICE, F.when(F.col(_BOUNDS).isNull(), 0).otherwise(1 + before)
-        ).drop(_BOUNDS)
+        self.df = _with_slice(placed, self.order, self.hot.slices)
 
-    def _with(self, df: DataFrame) -> KeyedOrder:
+    def with_df(self, df: DataFrame) -> KeyedOrder:
+        """The same keys, order and slices over rows derived from ``self.df``."""
         other = object.__new__(KeyedOrder)
         other.keys, other.order, other.tie = self.keys, self.order, self.tie
-        other.sliced, other.df = self.sliced, df
+        other.hot, other.df = self.hot, df
         return other
 
+    def done(self) -> DataFrame:
+        return self.df if self.hot is None else self.df.drop(SLICE, CUT)
+
     def _group(self) -> list[str]:
-        return self.keys + ([SLICE] if self.sliced else [])
+        return self.keys if self.hot is None else [*self.keys, SLICE]
 
-    def _window(self, tie: bool = True):
+    def _window(self, tie: bool = True) -> WindowSpec:
         order = self.order + (self.tie if tie else [])
         return Window.partitionBy(*self._group()).orderBy(*order)
 
-    def _add_from_slices(self, per_slice: DataFrame) -> DataFrame:
-        """Attach a column kept per (key, slice) of hot keys; null elsewhere."""
-        group = self._group()
-        listed = F.broadcast(_renamed(per_slice, group))
-        return _drop_renamed(self.df.join(listed, _same_keys(group), "left"), group)
-
-    def _slice_window(self):
+    def _over_slices(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(SLICE)
 
-    def running_sum(self, out: str, value: Column, peers: bool = False) -> KeyedOrder:
-        """Sum of ``value`` over the rows up to this one, or up to the last of its equals
-        in ``order`` if ``peers``."""
+    def _every_slice(self) -> DataFrame:
+        """One row per slice of the hot keys, known without reading the rows."""
+        number = F.explode(F.sequence(F.lit(1), F.col("_slices")))
+        return self.hot.table.select(*self.keys, number.alias(SLICE))
+
+    def _on_slice(self, df: DataFrame, per_slice: DataFrame) -> DataFrame:
+        group = self._group()
+        named = F.broadcast(_renamed(per_slice, group))
+        return _drop_renamed(df.join(named, _same_keys(group), "left"), group)
+
+    def sums(
+        self,
+        running: Mapping[str, Column],
+        totals: Mapping[str, Column] | None = None,
+        peers: bool = False,
+    ) -> KeyedOrder:
+        """Running sums up to each row, or up to the last of its equals in ``order`` if
+        ``peers``; and sums over all rows of the key."""
+        totals = totals or {}
         if peers:
             frame = self._window(tie=False).rangeBetween(Window.unboundedPreceding, 0)
         else:
             frame = self._window().rowsBetween(Window.unboundedPreceding, 0)
-        if not self.sliced:
-            return self._with(self.df.withColumn(out, F.sum(value).over(frame)))
-        totals = (
-            self.df.filter(F.col(SLICE) > 0).groupBy(*self._group()).agg(F.sum(value).alias("_slice_sum"))
+        whole = Window.partitionBy(*self._group())
+        here = {out: F.sum(value).over(frame) for out, value in running.items()}
+        all_here = {out: F.sum(value).over(whole) for out, value in totals.items()}
+        if self.hot is None:
+            return self.with_df(self.df.withColumns({**here, **all_here}))
+
+        earlier = self._over_slices().rowsBetween(Window.unboundedPreceding, -1)
+        every = Window.partitionBy(*self.keys)
+        named = {**running, **totals}
+        added = (
+            self.df.filter(CUT)
+            .groupBy(*self._group())
+            .agg(*[F.sum(value).alias(f"_slice_{out}") for out, value in named.items()])
         )
-        earlier = totals.withColumn(
-            "_slice_before",
-            F.sum("_slice_sum").over(self._slice_window().rowsBetween(Window.unboundedPreceding, -1)),
-        ).drop("_slice_sum")
-        df = self._add_from_slices(earlier)
-        here = F.sum(value).over(frame)
-        both = F.when(F.col("_slice_before").isNull(), here).otherwise(
-            F.col("_slice_before") + F.coalesce(here, F.lit(0))
+        carried = added.select(
+            *self._group(),
+            *[F.sum(f"_slice_{out}").over(earlier).alias(f"_slice_{out}") for out in running],
+            *[F.sum(f"_slice_{out}").over(every).alias(f"_slice_{out}") for out in totals],
         )
-        return self._with(df.withColumn(out, both).drop("_slice_before"))
-
-    def total(self, out: str, value: Column) -> KeyedOrder:
-        """Sum of ``value`` over all rows of the key."""
-        whole = F.sum(value).over(Window.partitionBy(*self._group()))
-        if not self.sliced:
-            return self._with(self.df.withColumn(out, whole))
-        rows = self.df.filter(F.col(SLICE) > 0)
-        per_slice = rows.groupBy(*self._group()).agg(F.sum(value).alias("_slice_sum"))
-        per_slice = per_slice.withColumn(
-            "_slice_all", F.sum("_slice_sum").over(Window.partitionBy(*self.keys))
-        ).drop("_slice_sum")
-        df = self._add_from_slices(per_slice)
-        both = F.when(F.col(SLICE) > 0, F.col("_slice_all")).otherwise(whole)
-        return self._with(df.withColumn(out, both).drop("_slice_all"))
+        df = self._on_slice(self.df, carried)
+        results = {}
+        for out, inside in here.items():
+            before = F.col(f"_slice_{out}")
+            results[out] = F.when(before.isNull(), inside).otherwise(
+                before + F.coalesce(inside, F.lit(0))
+            )
+        for out, inside in all_here.items():
+            results[out] = F.when(F.col(CUT), F.col(f"_slice_{out}")).otherwise(inside)
+        return self.with_df(df.withColumns(results).drop(*[f"_slice_{out}" for out in results]))
 
     def last(self, out: str, value: Column, inclusive: bool = True) -> KeyedOrder:
         """The latest non-null ``value`` up to this row, or strictly before it."""
         frame = self._window().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         here = F.last(value, ignorenulls=True).over(frame)
-        if not self.sliced:
-            return self._with(self.df.withColumn(out, here))
+        if self.hot is None:
+            return self.with_df(self.df.withColumn(out, here))
+
         position = F.struct(*self.order, *self.tie)
         newest = (
-            self.df.filter((F.col(SLICE) > 0) & value.isNotNull())
+            self.df.filter(F.col(CUT) & value.isNotNull())
             .groupBy(*self._group())
             .agg(F.max_by(value, position).alias("_slice_newest"))
         )
-        # a slice may hold no value at all, so carry over every slice number in use
-        slices = self.df.filter(F.col(SLICE) > 0).select(*self._group()).distinct()
-        named = _renamed(newest, self._group())
-        filled = _drop_renamed(
-            slices.join(named, _same_keys(self._group()), "left"), self._group()
+        # a slice may hold no value, so the newest is handed on over every slice number
+        earlier = self._over_slices().rowsBetween(Window.unboundedPreceding, -1)
+        carried = self._on_slice(self._every_slice(), newest).select(
+            *self._group(),
+            F.last("_slice_newest", ignorenulls=True).over(earlier).alias("_slice_before"),
         )
-        earlier = filled.withColumn(
-            "_slice_before",
-            F.last("_slice_newest", ignorenulls=True).over(
-                self._slice_window().rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        ).drop("_slice_newest")
-        df = self._add_from_slices(earlier)
-        return self._with(df.withColumn(out, F.coalesce(here, "_slice_before")).drop("_slice_before"))
-
-    def done(self) -> DataFrame:
-        return self.df.drop(SLICE) if self.sliced else self.df
+        df = self._on_slice(self.df, carried)
+        both = F.coalesce(here, F.col("_slice_before"))
+        return self.with_df(df.withColumn(out, both).drop("_slice_before"))

@@ -110,8 +110,7 @@ def _trailing(
     )
     union = arrivals.unionByName(leaving, allowMissingColumns=True)
     ordered = KeyedOrder(union, [key], [_AT, _PHASE], (), min_slice_rows)
-    ordered = ordered.running_sum("_volume", F.col(amount), peers=True)
-    ordered = ordered.running_sum("_rows", F.col(count), peers=True)
+    ordered = ordered.sums({"_volume": F.col(amount), "_rows": F.col(count)}, peers=True)
     return ordered.done().filter(F.col(_PHASE) == 0).drop(_AT, _PHASE)
 
 
@@ -179,7 +178,7 @@ def _following(
         ending, allowMissingColumns=True
     )
     ordered = KeyedOrder(union, [key], [_AT, _PHASE], ["_back_id"], min_slice_rows)
-    ordered = ordered.running_sum("_n", F.col(_DELTA), peers=True)
+    ordered = ordered.sums({"_n": F.col(_DELTA)}, peers=True)
     ordered = ordered.last("_first", F.col("_start"))
     return (
         ordered.done()
@@ -240,7 +239,7 @@ def sessions_batch(
     ordered = KeyedOrder(df, [key], [time, ident], (), min_slice_rows)
     ordered = ordered.last("_previous", F.col(time), inclusive=False)
     opens = F.col("_previous").isNull() | (F.col(time) > F.col("_previous") + gap)
-    ordered = ordered._with(ordered.df.withColumn("_opened", F.when(opens, F.col(time))))
+    ordered = ordered.with_df(ordered.df.withColumn("_opened", F.when(opens, F.col(time))))
     ordered = ordered.last("session_start", F.col("_opened"))
     return (
         ordered.done()

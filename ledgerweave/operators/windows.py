@@ -19,7 +19,7 @@ def running_balance(
     min_slice_rows: int = MIN_SLICE_ROWS,
 ) -> DataFrame:
     """Cumulative value per account. ``order`` must end in a tie-break."""
-    return KeyedOrder(tx, [key], order, (), min_slice_rows).running_sum(out, value).done()
+    return KeyedOrder(tx, [key], order, (), min_slice_rows).sums({out: value}).done()
 
 
 def prev_link(
@@ -73,7 +73,7 @@ def quorum(
     """
     heaviest = validators.withColumn("_light", -F.col(weight))
     ordered = KeyedOrder(heaviest, keys, ["_light", ident], (), min_slice_rows)
-    ordered = ordered.running_sum("cumulative", F.col(weight)).total("total", F.col(weight))
+    ordered = ordered.sums({"cumulative": F.col(weight)}, {"total": F.col(weight)})
     before = (F.col("cumulative") - F.col(weight)) * 3
     needed = F.col("total") * 2
     short = before <= needed if more_than else before < needed
@@ -92,5 +92,5 @@ def global_index(
     by the size of the slices before them. ``order`` must be unique.
     """
     ordered = KeyedOrder(df, [], order, (), min_slice_rows)
-    counted = ordered.running_sum(out, F.lit(1).cast("bigint")).done()
+    counted = ordered.sums({out: F.lit(1).cast("bigint")}).done()
     return counted.withColumn(out, F.col(out) - 1)
