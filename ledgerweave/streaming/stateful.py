@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState
 
 from ledgerweave.functions.udfs import combine_batches
 
@@ -38,47 +38,38 @@ def _output(stream: DataFrame, key: str) -> str:
     return f"`{key}` {stream.schema[key].dataType.simpleString()}, {_STATE}"
 
 
-def running_totals(stream: DataFrame, key: str, units: str, idle: str | None = None) -> DataFrame:
+def running_totals(stream: DataFrame, key: str, units: str) -> DataFrame:
     """Per key the number of rows and the total so far, one row per key and micro-batch.
 
-    ``idle`` (for example "30 days" in milliseconds as text) drops a key's state after that
-    much processing time without rows; by default state is kept for ever.
+    State is kept for every key for ever: a total of everything has no point at which it
+    could be dropped. It grows with the number of keys, not with the number of rows.
     """
-    timeout = (
-        GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
-    )
 
     def update(
         keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         n, total = state.get if state.exists else (0, 0)
         for batch in batches:
             n += int(batch["n_rows"].sum())
             total += int(batch["total"].sum())
         state.update((n, total))
-        if idle is not None:
-            state.setTimeoutDuration(int(idle))
         yield pd.DataFrame({key: [keys[0]], "n_rows": [n], "total": [total]})
 
     return (
         _partials(stream, key, units)
         .groupBy(key)
-        .applyInPandasWithState(update, _output(stream, key), _STATE, "append", timeout)
+        .applyInPandasWithState(update, _output(stream, key), _STATE, "append", "NoTimeout")
     )
 
 
 class TotalsProcessor(StatefulProcessor):
-    """Keeps (rows, total) per key in one value state, optionally with a time to live."""
+    """Keeps (rows, total) per key in one value state."""
 
-    def __init__(self, key: str, ttl_millis: int | None):
+    def __init__(self, key: str):
         self.key = key
-        self.ttl_millis = ttl_millis
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("totals", _STATE, self.ttl_millis)
+        self.state = handle.getValueState("totals", _STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         n, total = self.state.get() if self.state.exists() else (0, 0)
@@ -92,17 +83,15 @@ class TotalsProcessor(StatefulProcessor):
         pass
 
 
-def running_totals_v2(
-    stream: DataFrame, key: str, units: str, ttl_millis: int | None = None
-) -> DataFrame:
+def running_totals_v2(stream: DataFrame, key: str, units: str) -> DataFrame:
     """The same on the state-processor API; needs the RocksDB state store."""
     return (
         _partials(stream, key, units)
         .groupBy(key)
         .transformWithStateInPandas(
-            statefulProcessor=TotalsProcessor(key, ttl_millis),
+            statefulProcessor=TotalsProcessor(key),
             outputStructType=_output(stream, key),
             outputMode="append",
-            timeMode="None" if ttl_millis is None else "ProcessingTime",
+            timeMode="None",
         )
     )

@@ -137,18 +137,10 @@ def test_running_totals(spark, folder):
     totals(spark, folder, stateful.running_totals)
 
 
-def test_running_totals_with_idle_timeout(spark, folder):
-    totals(spark, folder, lambda s, k, u: stateful.running_totals(s, k, u, "86400000"))
-
-
 def test_running_totals_v2(spark, folder):
     totals(spark, folder, stateful.running_totals_v2)
 
 
-def test_running_totals_v2_with_ttl(spark, folder):
-    totals(spark, folder, lambda s, k, u: stateful.running_totals_v2(s, k, u, 86_400_000))
-
-
 def test_upsert_repeats_a_batch_without_harm(spark, folder):
     schema = spark.createDataFrame([], "id bigint, t bigint, v string").schema
     state = sources.LatestState(spark, f"{folder}/state", schema, "id", ["t"], buckets=4)
