@@ -25,9 +25,10 @@ def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """Nodes within ``hops`` steps of the start nodes along (src, dst), with distance.
 
     ``start`` has one column ``node``. Every round joins the edges only with the nodes that
-    were new in the round before; each round's table is written, so a lost executor costs
-    at most one round.
+    were new in the round before. The edges are written once instead of being computed in
+    each round, and so is each round's table: a lost executor costs at most one round.
     """
+    edges, _ = written(edges.select("src", "dst"), "edges")
     frontier, _ = written(start.select("node").distinct(), "reach")
     found = frontier.withColumn("distance", F.lit(0))
     size = frontier.count()
@@ -55,35 +56,29 @@ def _fingerprint(pairs: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _to_lowest(pairs: DataFrame) -> DataFrame:
-    """Per node the lowest of its neighbours and itself."""
-    return pairs.groupBy("src").agg(F.min("dst").alias("_low")).select(
-        F.col("src").alias("_node"), F.least("src", "_low").alias("_low")
-    )
+def _lowest(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("src").agg(F.min("dst").alias("_low")).withColumnRenamed("src", "_node")
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:
-    """Point every higher neighbour of a node at the node's lowest neighbour."""
-    around = both_directions(pairs)
-    lowest = _to_lowest(around)
-    higher = around.filter(F.col("dst") > F.col("src"))
-    return (
-        higher.join(lowest, F.col("src") == F.col("_node"))
-        .select(F.col("dst").alias("src"), F.col("_low").alias("dst"))
-        .distinct()
+    """Point every higher neighbour of a node at the node's lowest neighbour, or at the node
+    itself if it has no lower one. Pairs run from the higher to the lower node throughout."""
+    lowest = _lowest(pairs)
+    return pairs.join(lowest, F.col("dst") == F.col("_node"), "left").select(
+        "src", F.coalesce("_low", "dst").alias("dst")
     )
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
     """Point a node and its lower neighbours at the lowest of them."""
-    lowest = _to_lowest(pairs)
-    moved = (
+    lowest = _lowest(pairs)
+    ends = F.explode(F.array("src", "dst"))
+    return (
         pairs.join(lowest, F.col("src") == F.col("_node"))
-        .filter(F.col("dst") > F.col("_low"))
-        .select(F.col("dst").alias("src"), F.col("_low").alias("dst"))
+        .select(ends.alias("src"), F.col("_low").alias("dst"))
+        .filter(F.col("src") > F.col("dst"))
+        .distinct()
     )
-    own = lowest.select(F.col("_node").alias("src"), F.col("_low").alias("dst"))
-    return moved.unionByName(own).distinct()
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
