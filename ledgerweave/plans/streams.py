@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions.columns import base_units, micros
 from ledgerweave.plans.registry import plan
-from ledgerweave.session import scratch_path
+from ledgerweave.session import apply_runtime_defaults, scratch_path, shuffle_width
 from ledgerweave.sources import streams as sources
 from ledgerweave.sources.ledger import Ledger
 from ledgerweave.streaming import late, stateful, windows
@@ -31,6 +31,27 @@ _PART_SQL = """
 """
 
 
+STATE_BYTES = 32 * 1024 * 1024  # input per state partition
+
+
+def _streaming(t: Ledger) -> Ledger:
+    """The same tables in a session whose number of state partitions suits the input.
+
+    Streams have no adaptive execution: each state partition costs a task and a commit in
+    every micro-batch, and the number is fixed with the first one. It is taken from the
+    size of the events, between the cores there are and the session's own setting.
+    """
+    session = t.spark.newSession()
+    apply_runtime_defaults(session)
+    path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{t.directory}/events.parquet")
+    files = path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
+    wanted = files.getContentSummary(path).getLength() // STATE_BYTES + 1
+    cores = session.sparkContext.defaultParallelism
+    partitions = min(shuffle_width(t.spark), max(cores, wanted))
+    session.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return Ledger(session, t.directory)
+
+
 def _parted(events: DataFrame) -> tuple[DataFrame, int]:
     """Events with ``part``: their quarter of the table's time range; and the range in seconds."""
     low, high = events.agg(F.min(micros("ts")), F.max(micros("ts"))).first()
@@ -45,9 +66,10 @@ def _feed(
     """Add the rows part by part to a folder and let ``run`` take up the new ones each time."""
     landing = scratch_path(t.spark, "landing")
     schema = arrivals.schema
+    session = _streaming(t).spark
     for part in range(parts):
         arrivals.filter(arrives == part).write.mode("append").parquet(landing)
-        stream = sources.stream_source(t.spark, landing, schema)
+        stream = sources.stream_source(session, landing, schema)
         run(sources.with_event_time(stream, "ts"))
 
 
@@ -69,7 +91,7 @@ def _collected(t: Ledger, operator: Callable[[DataFrame], DataFrame]):
 
 def _over_table(t: Ledger, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
     run, read = _collected(t, operator)
-    stream = sources.stream_table(t.spark, t.directory, "events")
+    stream = sources.stream_table(_streaming(t).spark, t.directory, "events")
     run(sources.with_event_time(stream, "ts"))
     return read()
 
@@ -221,17 +243,17 @@ def late_report(t: Ledger) -> DataFrame:
     events, _ = _parted(t.events)
     arrives = F.col("part") + (F.col("event_type") == "error").cast("int")
     path, checkpoint = scratch_path(t.spark, "late"), scratch_path(t.spark, "late-state")
-    reports = []
-    _feed(
-        t,
-        events,
-        arrives,
-        PARTS + 1,
-        lambda s: reports.append(late.late_report(s, "ts", DELAY, path, checkpoint)),
-    )
+    schemas = []
+
+    def run(stream: DataFrame) -> None:
+        schemas.append(stream.schema)
+        late.late_report(stream, "ts", DELAY, path, checkpoint)
+
+    _feed(t, events, arrives, PARTS + 1, run)
+    report = late.LateReport(t.spark, path, schemas[-1], "ts", DELAY)
     both = (
-        reports[-1].late().withColumn("late", F.lit(True))
-        .unionByName(reports[-1].on_time().withColumn("late", F.lit(False)))
+        report.late().withColumn("late", F.lit(True))
+        .unionByName(report.on_time().withColumn("late", F.lit(False)))
     )
     return both.select("event_id", "ts", "event_type", "batch", "late")
 
@@ -243,14 +265,12 @@ def late_report(t: Ledger) -> DataFrame:
 def upsert_accounts(t: Ledger) -> DataFrame:
     events, _ = _parted(t.events)
     path, checkpoint = scratch_path(t.spark, "accounts"), scratch_path(t.spark, "accounts-state")
-    states = []
-    _feed(
-        t,
-        events,
-        F.col("part"),
-        PARTS,
-        lambda s: states.append(
-            sources.upsert_accounts(s, path, checkpoint, "user_id", ["ts", "event_id"], buckets=8)
-        ),
-    )
-    return states[-1].read().select("user_id", "event_id", "ts", "event_type")
+    order, schemas = ["ts", "event_id"], []
+
+    def run(stream: DataFrame) -> None:
+        schemas.append(stream.schema)
+        sources.upsert_accounts(stream, path, checkpoint, "user_id", order, buckets=8)
+
+    _feed(t, events, F.col("part"), PARTS, run)
+    state = sources.LatestState(t.spark, path, schemas[-1], "user_id", order, buckets=8)
+    return state.read().select("user_id", "event_id", "ts", "event_type")
