@@ -145,6 +145,35 @@ class LatestState:
             return self.spark.createDataFrame([], self.schema)
         return current.select(*self.schema.names)
 
+    def drop_replaced(self) -> int:
+        """Delete bucket files that neither a reader nor a repeat of the last batch needs.
+
+        The last batch may run again and then reads what was newest before it, so that
+        version stays too. Not while a batch or a reader is running. Looks only at the
+        commits, one row per batch and touched bucket.
+        """
+        commits = self._read(self.commits_path, "bucket int, batch bigint")
+        if commits is None:
+            return 0
+        last = commits.agg(F.max("batch")).first()[0]
+        if last is None:
+            return 0
+        newest = (
+            commits.filter(F.col("batch") < last)
+            .groupBy("bucket")
+            .agg(F.max("batch").alias("newest"))
+        )
+        replaced = (
+            commits.join(F.broadcast(newest), "bucket")
+            .filter(F.col("batch") < F.col("newest"))
+            .select("batch", "bucket")
+        )
+        dropped = 0
+        for row in replaced.toLocalIterator():
+            drop_path(self.spark, f"{self.rows_path}/batch={row['batch']}/bucket={row['bucket']}")
+            dropped += 1
+        return dropped
+
     def clear(self) -> None:
         drop_path(self.spark, self.rows_path)
         drop_path(self.spark, self.commits_path)

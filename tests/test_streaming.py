@@ -157,6 +157,15 @@ def test_upsert_repeats_a_batch_without_harm(spark, folder):
     assert rows(state.read()) == expected
     state.merge(batch(), 2)
     assert rows(state.read()) == expected
+    third = batch((1, 20, "x"), (2, 20, "x"), (3, 20, "x"), (4, 20, "x"))
+    state.merge(third, 3)
+    assert state.drop_replaced() > 0
+    for _ in range(2):  # the last batch may still run again
+        assert rows(state.read()) == [(n, 20, "x") for n in (1, 2, 3, 4)]
+        state.merge(third.filter("id < 3"), 3)
+        state.merge(third, 3)
+    state.merge(third.filter("id < 0"), 3)
+    assert rows(state.read()) == expected
 
 
 def test_upsert_ignores_an_unfinished_batch(spark, folder):
