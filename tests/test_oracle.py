@@ -7,6 +7,7 @@ from conftest import MEDIUM, SMALL
 
 import __spark_entry__ as entry_module
 import check
+from ledgerweave.plans import all_plans
 
 WITHOUT_SQL = {"distinct_parties_approx"}
 JOINS = [
@@ -21,7 +22,7 @@ def connection():
     return check.database(MEDIUM)
 
 
-@pytest.mark.parametrize("name", list(entry_module.queries()))
+@pytest.mark.parametrize("name", list(all_plans()))
 def test_equals_sql(spark, connection, name):
     assert check.compare(spark, connection, name, MEDIUM) is None
 
@@ -32,7 +33,7 @@ def test_equals_sql_without_broadcast(spark, connection, no_broadcast, name):
 
 
 def test_every_query_has_sql_unless_listed():
-    assert set(entry_module.queries()) - set(entry_module.oracle_sql()) == WITHOUT_SQL
+    assert set(all_plans()) - set(entry_module.oracle_sql()) == WITHOUT_SQL
 
 
 def test_entry(spark):
