@@ -26,8 +26,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.llm import deal
 from ledgerweave.llm.deal import KEY
-from ledgerweave.llm.text import Words, chunks, mix, rolling, whole_runs
-from ledgerweave.session import written
+from ledgerweave.llm.text import Words, mix, rolling, whole_runs
 
 WINDOW = 35
 SHARD_BYTES = 20_000_000
@@ -35,31 +34,15 @@ SHARD_BYTES = 20_000_000
 _U = np.uint64
 
 
-def _batches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    for batch in batches:
-        sizes = np.append(0, np.cumsum(batch.column("n_bytes").to_numpy()))
-        begin = 0
-        while begin < batch.num_rows:  # unpack a chunk of texts at a time
-            end = max(begin + 1, int(np.searchsorted(sizes, sizes[begin] + 4_000_000)) - 1)
-            part = batch.slice(begin, end - begin)
-            texts = deal.unpacked(part)
-            for first, last in chunks(texts):
-                yield part.slice(first, last - first), Words(texts[first:last])
-            begin = end
+def _opened(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    for part, texts in deal.opened(batches):
+        yield part, Words(texts)
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return (((h >> _U(40)) * _U(shards)) >> _U(24)).astype(np.int64)
 
 
-def _heads(part: pa.RecordBatch) -> dict[str, np.ndarray]:
-    return {
-        "k1": part.column("k1").to_numpy(),
-        "k2": part.column("k2").to_numpy(),
-        "twice": (part.column("copies").to_numpy() > 1).astype(np.uint8),
-    }
-
-
 class _Runs:
     """Runs of ``width`` words that lie in one text: hash, text, place in the text."""
 
@@ -78,78 +61,24 @@ def _block(window: int) -> int:
 def _send_probes(batches, window: int, shards: int):
     """Items: 31 bits of a run's hash and a bit that marks blocks."""
     block = _block(window)
-    for part, words in _batches(batches):
+    for part, words in _opened(batches):
         runs = _Runs(words, words.hashes(), block)
         enough = (np.diff(words.first) >= window)[runs.doc]
         h, doc, place = runs.hash[enough], runs.doc[enough], runs.place[enough]
         if len(h):
             items = ((h & _U(0x7FFFFFFF)) << _U(1) | (place % block == 0)).astype(np.uint32)
-            yield deal.dealt(_shard(h, shards), doc, _heads(part), {"probe": items})
-
-
-def _report(keys: dict, found: np.ndarray, doc: np.ndarray, n_docs: int) -> pa.RecordBatch:
-    """Bits of ``found`` for each doc of a shard that has any; ``doc`` does not decrease."""
-    some = np.flatnonzero(np.bincount(doc[found], minlength=n_docs)) if len(doc) else []
-    begins = np.searchsorted(doc, np.arange(n_docs + 1))
-    bits = [np.packbits(found[begins[d] : begins[d + 1]]).tobytes() for d in some]
-    return pa.RecordBatch.from_pydict(
-        {
-            "k1": pa.array(keys["k1"][some], pa.int64()),
-            "k2": pa.array(keys["k2"][some], pa.int64()),
-            "bits": pa.array(bits, pa.binary()),
-            "shard": pa.array(np.full(len(some), keys["shard"]), pa.int32()),
-        }
-    )
-
-
-def _by_shard(batches, kinds: dict[str, str]) -> Iterator[dict[str, np.ndarray]]:
-    """What each shard of a task got. Shards of a task are told apart by the caller's rows."""
-    rows: dict[int, list[pa.RecordBatch]] = {}
-    for batch in batches:
-        shard = batch.column("shard").to_numpy()
-        for s in np.unique(shard):
-            rows.setdefault(int(s), []).append(batch.filter(pa.array(shard == s)))
-    for s in sorted(rows):
-        yield deal.gathered(rows.pop(s), kinds) | {"shard": s}
-
-
-HEADS = {"count": "<i4", "k1": "<i8", "k2": "<i8", "twice": "u1"}
+            yield deal.dealt(_shard(h, shards), doc, deal.heads(part), {"probe": items})
 
 
-def _meet_blocks(batches):
-    for got in _by_shard(batches, HEADS | {"probe": "<u4"}):
+def _meet_blocks(batches, buckets: int):
+    for got in deal.by_shard(batches, deal.HEADS | {"probe": "<u4"}):
         doc = np.repeat(np.arange(len(got["count"])), got["count"])
         is_block = (got["probe"] & 1).astype(bool)
         order, group = deal.repeated(got["probe"] >> 1)
         size = np.bincount(group, weights=1 + got["twice"][doc[order]])
         met = np.empty(len(doc), dtype=bool)
         met[order] = size[group] > 1
-        yield _report(got, met[is_block], doc[is_block], len(got["count"]))
-
-
-def _met_blocks(part: pa.RecordBatch, runs: _Runs, block: int, shards: int, n_docs: int):
-    """The blocks of the texts that were reported, as places in the arrays of ``runs``."""
-    blocks = np.flatnonzero(runs.place % block == 0)
-    return blocks[_told(part.column("blocks"), runs.doc[blocks], runs.hash[blocks], shards)]
-
-
-def _told(column: pa.Array, doc: np.ndarray, h: np.ndarray, shards: int) -> np.ndarray:
-    """Mask of the items that shards reported; items of a text and shard keep their order."""
-    mask = np.zeros(len(doc), dtype=bool)
-    if not len(doc):
-        return mask
-    order = np.lexsort((_shard(h, shards), doc))
-    where = doc[order] * shards + _shard(h, shards)[order]
-    rows = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
-    told = column.flatten()
-    keys = rows * shards + told.field("shard").to_numpy()
-    begins = np.searchsorted(where, keys)
-    ends = np.searchsorted(where, keys, side="right")
-    for begin, end, bits in zip(begins, ends, told.field("bits").to_pylist(), strict=True):
-        mask[order[begin:end]] = np.unpackbits(
-            np.frombuffer(bits, np.uint8), count=end - begin
-        ).astype(bool)
-    return mask
+        yield deal.report(got, met[is_block], doc[is_block], buckets)
 
 
 def _candidates(part, words: Words, window: int, shards: int):
@@ -158,7 +87,10 @@ def _candidates(part, words: Words, window: int, shards: int):
     hashes = words.hashes()
     blocks = _Runs(words, hashes, block)
     met = np.zeros(len(words) + 1, dtype=bool)
-    met[blocks.inside[_met_blocks(part, blocks, block, shards, len(part))]] = True
+    own = np.flatnonzero(blocks.place % block == 0)
+    shard = _shard(blocks.hash[own], shards)
+    own = own[deal.told(part.column("blocks"), blocks.doc[own], shard, shards)]
+    met[blocks.inside[own]] = True
     inside = np.flatnonzero(whole_runs(words.doc, window))
     place = inside - words.first[words.doc[inside]]
     inside = inside[met[inside + (-place) % block]]  # the one block that starts in time
@@ -167,15 +99,15 @@ def _candidates(part, words: Words, window: int, shards: int):
 
 
 def _send_windows(batches, window: int, shards: int):
-    for part, words in _batches(batches):
+    for part, words in _opened(batches):
         first, second, doc, _ = _candidates(part, words, window, shards)
         if len(first):
             items = {"first": first, "second": second}
-            yield deal.dealt(_shard(first, shards), doc, _heads(part), items)
+            yield deal.dealt(_shard(first, shards), doc, deal.heads(part), items)
 
 
-def _meet_windows(batches):
-    for got in _by_shard(batches, HEADS | {"first": "<u8", "second": "<u4"}):
+def _meet_windows(batches, buckets: int):
+    for got in deal.by_shard(batches, deal.HEADS | {"first": "<u8", "second": "<u4"}):
         doc = np.repeat(np.arange(len(got["count"])), got["count"])
         order = np.lexsort((got["second"], got["first"]))
         first, second = got["first"][order], got["second"][order]
@@ -184,13 +116,13 @@ def _meet_windows(batches):
         size = np.bincount(group, weights=1 + got["twice"][doc[order]])
         again = np.empty(len(doc), dtype=bool)
         again[order] = size[group] > 1
-        yield _report(got, again, doc, len(got["count"]))
+        yield deal.report(got, again, doc, buckets)
 
 
 def _cut(batches, window: int, shards: int):
-    for part, words in _batches(batches):
+    for part, words in _opened(batches):
         first, _, doc, inside = _candidates(part, words, window, shards)
-        found = inside[_told(part.column("windows"), doc, first, shards)]
+        found = inside[deal.told(part.column("windows"), doc, _shard(first, shards), shards)]
         step = np.zeros(len(words) + 1, dtype=np.int32)
         step[found] += 1
         np.add.at(step, found + window, -1)
@@ -229,44 +161,26 @@ def repeated_passages(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     ``kept`` has the words outside all windows that start more than once, joined by a space.
     """
     spark = texts.sparkSession
-    shards = deal.shard_count(
-        texts.agg(F.sum("n_bytes")).first()[0], spark, SHARD_BYTES
-    )
-
-    def round_trip(sent: DataFrame, meet, name: str) -> DataFrame:
-        reports = sent.repartition(shards, "shard").mapInArrow(
-            meet, "k1 long, k2 long, bits binary, shard int"
-        )
-        listed = F.collect_list(F.struct("shard", "bits"))
-        return written(reports.groupBy(*KEY).agg(listed.alias(name)), name)[0]
-
-    heads = ["k1", "k2", "twice"]
-    blocks = round_trip(
+    shards = deal.shard_count(texts.agg(F.sum("n_bytes")).first()[0], spark, SHARD_BYTES)
+    narrow = ["k1", "k2", "twice"]
+    blocks = deal.round_trip(
         texts.mapInArrow(
-            partial(_send_probes, window=window, shards=shards), deal.dealt_schema(*heads, "probe")
+            partial(_send_probes, window=window, shards=shards),
+            deal.dealt_schema(*narrow, "probe"),
         ),
-        _meet_blocks,
-        "blocks",
-    )
-    candidates = texts.join(blocks, KEY)
-    windows = round_trip(
-        candidates.mapInArrow(
+        shards, _meet_blocks, "blocks",
+    )
+    windows = deal.round_trip(
+        texts.join(blocks, KEY).mapInArrow(
             partial(_send_windows, window=window, shards=shards),
-            deal.dealt_schema(*heads, "first", "second"),
+            deal.dealt_schema(*narrow, "first", "second"),
         ),
-        _meet_windows,
-        "windows",
-    )
-    nothing = F.array().cast("array<struct<shard:int,bits:binary>>")
-    return (
-        texts.join(blocks, KEY, "left")
-        .join(windows, KEY, "left")
-        .withColumn("blocks", F.coalesce("blocks", nothing))
-        .withColumn("windows", F.coalesce("windows", nothing))
-        .mapInArrow(
-            partial(_cut, window=window, shards=shards),
-            "k1 long, k2 long, n_words long, n_removed long, kept string",
-        )
+        shards, _meet_windows, "windows",
+    )
+    told = deal.with_reports(deal.with_reports(texts, blocks, "blocks"), windows, "windows")
+    return told.mapInArrow(
+        partial(_cut, window=window, shards=shards),
+        "k1 long, k2 long, n_words long, n_removed long, kept string",
     )
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.text import as_bytes
-from ledgerweave.session import scratch_path, shuffle_width
+from ledgerweave.llm.text import CHUNK_BYTES, as_bytes, mix
+from ledgerweave.session import scratch_path, shuffle_width, written
 
 KEY = ["k1", "k2"]
 SHARD_BYTES = 48_000_000  # text whose records one shard receives
@@ -40,6 +41,31 @@ def unpacked(batch: pa.RecordBatch) -> list[bytes]:
     return [reader.decompress(z) for z in batch.column("z").to_pylist()]
 
 
+def opened(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of rows of ``distinct_texts`` and their texts, about CHUNK_BYTES at a time."""
+    for batch in batches:
+        ends = np.cumsum(batch.column("n_bytes").to_numpy())
+        begin, before = 0, 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, side="right")))
+            end = min(end, begin + 60_000)
+            part = batch.slice(begin, end - begin)
+            yield part, unpacked(part)
+            begin, before = end, ends[end - 1]
+
+
+def heads(part: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """What a shard is told of each text: its key, and whether it has copies."""
+    return {
+        "k1": part.column("k1").to_numpy(),
+        "k2": part.column("k2").to_numpy(),
+        "twice": (part.column("copies").to_numpy() > 1).astype(np.uint8),
+    }
+
+
+HEADS = {"count": "<i4", "k1": "<i8", "k2": "<i8", "twice": "u1"}
+
+
 def _packed_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     writer = zstandard.ZstdCompressor(level=3)
     for batch in batches:
@@ -175,3 +201,120 @@ def repeated(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ordered = values[order]
     new = np.append(True, ordered[1:] != ordered[:-1]) if len(values) else np.zeros(0, dtype=bool)
     return order, np.cumsum(new) - 1
+
+
+def by_shard(
+    batches: Iterable[pa.RecordBatch], kinds: dict[str, str]
+) -> Iterator[dict[str, np.ndarray]]:
+    """What each of a task's shards got, one after the other; ``shard`` is its number."""
+    rows: dict[int, list[pa.RecordBatch]] = {}
+    for batch in batches:
+        shard = batch.column("shard").to_numpy()
+        for s in np.unique(shard):
+            rows.setdefault(int(s), []).append(batch.filter(pa.array(shard == s)))
+    for s in sorted(rows):
+        yield gathered(rows.pop(s), kinds) | {"shard": s}
+
+
+REPORT = {"k1": "<i8", "k2": "<i8", "shard": "<i4", "size": "<i4", "bits": "u1"}
+
+
+def report(got: dict, found: np.ndarray, doc: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """For each text of a shard with anything ``found`` a bit for each of its items, packed in
+    a row for each bucket of texts. ``doc`` says whose an item is and does not decrease."""
+    n = len(got["count"])
+    some = np.flatnonzero(np.bincount(doc[found], minlength=n))
+    bucket = (mix(got["k1"][some].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    some, bucket = some[order], bucket[order]
+    begins = np.searchsorted(doc, np.arange(n + 1))
+    bits = [np.packbits(found[begins[d] : begins[d + 1]]) for d in some]
+    sizes = np.array([len(b) for b in bits], dtype=np.int32)
+    packed = np.concatenate(bits) if bits else np.zeros(0, dtype=np.uint8)
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(some) else some
+    ends = np.append(cuts[1:], len(some)) if len(some) else some
+    byte_ends = np.append(0, np.cumsum(sizes, dtype=np.int64))[ends]
+    return pa.RecordBatch.from_pydict(
+        {
+            "bucket": pa.array(bucket[cuts], pa.int32()),
+            "k1": binary(np.ascontiguousarray(got["k1"][some]), ends, 8),
+            "k2": binary(np.ascontiguousarray(got["k2"][some]), ends, 8),
+            "shard": binary(np.full(len(some), got["shard"], dtype=np.int32), ends, 4),
+            "size": binary(sizes, ends, 4),
+            "bits": binary(packed, byte_ends, 1),
+        }
+    )
+
+
+def _merged(batches: Iterable[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """All reports of a text in one row; they are in the order of the shards."""
+    got = gathered(batches, REPORT)
+    order = np.lexsort((got["shard"], got["k2"], got["k1"]))
+    ends = np.cumsum(got["size"], dtype=np.int64)
+    bits = got["bits"].tobytes()
+    k1, k2 = got["k1"][order], got["k2"][order]
+    new = np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))[: len(k1)]
+    cuts = np.append(np.flatnonzero(new), len(k1))
+    kind = pa.struct([("shard", pa.int32()), ("bits", pa.binary())])
+    for first in range(0, len(cuts) - 1, 5_000):
+        last = min(first + 5_000, len(cuts) - 1)
+        rows = order[cuts[first] : cuts[last]]
+        reports = pa.StructArray.from_arrays(
+            [
+                pa.array(got["shard"][rows]),
+                pa.array([bits[ends[r] - got["size"][r] : ends[r]] for r in rows], pa.binary()),
+            ],
+            fields=list(kind),
+        )
+        yield pa.RecordBatch.from_pydict(
+            {
+                "k1": pa.array(k1[cuts[first:last]]),
+                "k2": pa.array(k2[cuts[first:last]]),
+                name: pa.ListArray.from_arrays(
+                    pa.array(cuts[first : last + 1] - cuts[first], pa.int32()), reports
+                ),
+            }
+        )
+
+
+REPORTS = "array<struct<shard:int,bits:binary>>"
+
+
+def round_trip(sent: DataFrame, shards: int, meet, name: str) -> DataFrame:
+    """Table ``k1, k2, name``: what all shards report on the items that they were ``sent``."""
+    buckets = shuffle_width(sent.sparkSession)
+    reports = sent.repartition(shards, "shard").mapInArrow(
+        partial(meet, buckets=buckets),
+        "bucket int, k1 binary, k2 binary, shard binary, size binary, bits binary",
+    )
+    merged = reports.repartition(buckets, "bucket").mapInArrow(
+        partial(_merged, name=name), f"k1 long, k2 long, {name} {REPORTS}"
+    )
+    return written(merged, name)[0]
+
+
+def with_reports(texts: DataFrame, reports: DataFrame, name: str) -> DataFrame:
+    """``texts`` with the reports on each, none being an empty list."""
+    joined = texts.join(reports, KEY, "left")
+    return joined.withColumn(name, F.coalesce(name, F.array().cast(REPORTS)))
+
+
+def told(column: pa.Array, doc: np.ndarray, shard: np.ndarray, shards: int) -> np.ndarray:
+    """Mask of the items that were reported. ``column`` has each text's reports; the items of
+    a text and shard must be in the order in which they were sent."""
+    mask = np.zeros(len(doc), dtype=bool)
+    if not len(doc):
+        return mask
+    where = doc * shards + shard
+    order = np.argsort(where, kind="stable")
+    where = where[order]
+    rows = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    flat = column.flatten()
+    keys = rows * shards + flat.field("shard").to_numpy()
+    begins = np.searchsorted(where, keys)
+    ends = np.searchsorted(where, keys, side="right")
+    for begin, end, bits in zip(begins, ends, flat.field("bits").to_pylist(), strict=True):
+        mask[order[begin:end]] = np.unpackbits(
+            np.frombuffer(bits, np.uint8), count=end - begin
+        ).astype(bool)
+    return mask
