@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import anchors, deal
+from ledgerweave.llm import (
+    anchors, ann, bpe, deal, jaccard, lines, media, mixing, quality, suffixes, tokens,
+)
 from ledgerweave.session import apply_runtime_defaults, written
 
+FOLDS = 5
+DOMAINS = {"clean": 0.89, "toxic": 0.05, "junk": 0.06}
 
-def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+
+def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     apply_runtime_defaults(spark)
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
@@ -18,17 +23,194 @@ def _digest(column: str):
     return F.sha2(F.col(column).cast("binary"), 256)
 
 
+def _for_documents(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """Results of texts for each document; digests are taken before texts would be moved."""
+    narrow, _ = written(found, name)
+    return deal.keyed(docs, "text", "doc_id").join(narrow, deal.KEY, "left").drop(*deal.KEY)
+
+
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of documents outside strings of 200 bytes that start more than once."""
+    docs = table(spark, sf_dir, "documents")
+    found = suffixes.repeated_bytes(deal.distinct_texts(docs))
+    digest = _digest("kept").alias("kept_sha256")
+    found = found.select("k1", "k2", "n_bytes", "n_removed", "n_spans", digest)
+    return _for_documents(docs, found, "byte-digests")
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """The labelled table: junk has quality 0, toxic text is toxic and no junk."""
+    name = (
+        F.when(F.col("quality") == 0, "junk").when(F.col("toxic") == 1, "toxic").otherwise("clean")
+    )
+    return labels.dropna(subset=["doc_id", "quality", "toxic"]).select(
+        "doc_id", name.alias("domain")
+    )
+
+
+def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of documents that give target shares of clean, toxic and junk tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = domains(table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, labelled, DOMAINS).select(
+        "doc_id",
+        "n_tokens",
+        *[F.col("posterior")[i].alias(f"p_{name}") for i, name in enumerate(DOMAINS)],
+        "rate",
+        "copies",
+    )
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stored as images in archives, read back and described."""
+    described = media.media_column(table(spark, sf_dir, "documents"))
+    return described.select("doc_id", *media.DESCRIBED)
+
+
+def fold(column: str):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % FOLDS
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of documents, learned from labels outside the fold that is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id") != 0)
+    scored = quality.score_quality(docs, labels)
+    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents outside passages of 35 words that start more than once."""
-    docs = _table(spark, sf_dir, "documents")
-    passages = anchors.repeated_passages(deal.distinct_texts(docs))
-    digests, _ = written(
-        passages.select("k1", "k2", "n_words", "n_removed", _digest("kept").alias("kept_sha256")),
-        "passage-digests",
+    docs = table(spark, sf_dir, "documents")
+    found = anchors.repeated_passages(deal.distinct_texts(docs))
+    digest = _digest("kept").alias("kept_sha256")
+    found = found.select("k1", "k2", "n_words", "n_removed", digest)
+    return _for_documents(docs, found, "passage-digests")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that stand on many sources, but for their first place."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    cut = lines.remove_widespread_lines(docs)
+    return cut.select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
-    ids = deal.keyed(docs, "text", "doc_id")
-    return ids.join(digests, deal.KEY, "left").drop(*deal.KEY)
 
 
-QUERIES = {"op5_substring_dedup": op5_substring_dedup}
-SQL: dict[str, str] = {}
+OP6_SQL = f"""
+WITH l AS (
+  SELECT doc_id, source, u.number, u.line
+  FROM (SELECT doc_id, coalesce(source, '') AS source,
+               string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+       LATERAL (SELECT unnest(parts) AS line, unnest(range(len(parts))) AS number) u
+),
+wide AS (
+  SELECT line, min((doc_id, number)) AS first FROM l
+  WHERE trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) <> ''
+  GROUP BY line HAVING count(DISTINCT source) >= {lines.MIN_SITES}
+),
+marked AS (
+  SELECT l.*, w.line IS NOT NULL AND (l.doc_id, l.number) <> w.first AS gone
+  FROM l LEFT JOIN wide w ON l.line = w.line
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY number) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest embeddings of each embedding whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+),
+pairs AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+         list_dot_product(q.e, v.e)
+           / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS score
+  FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of five-word shingles overlap by 80 in 100."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(words) - 3),
+                                         lambda i: array_to_string(words[i : i + 4], ' '))) AS shingle
+    FROM w WHERE len(words) >= 5
+    UNION ALL
+    SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 4
+  )
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY ALL
+),
+edges AS (
+  SELECT x, y FROM links JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * common >= 80 * (p.n + q.n - common)
+),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM sizes
+  UNION
+  SELECT reach.x, edges.y FROM reach JOIN edges ON reach.y = edges.x
+)
+SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, coalesce(min(reach.y), w.doc_id) AS component_id
+FROM w LEFT JOIN sizes ON sizes.doc_id = w.doc_id LEFT JOIN reach ON reach.x = w.doc_id
+GROUP BY w.doc_id
+"""
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of each document, counted on the whole document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.section_counts(docs)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of each document and of what they decode to."""
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op1_suffix_array_dedup, op2_soft_mixing, op3_media_columns, op4_quality_classifier,
+        op5_substring_dedup, op6_line_dedup, op7_nearest_vectors, op8_jaccard_join,
+        op9_token_counts, op10_bpe, pipeline,
+    )
+}
+
+SQL = {
+    "op6_line_dedup": OP6_SQL,
+    "op7_nearest_vectors": OP7_SQL,
+    "op8_jaccard_join": OP8_SQL,
+}
