@@ -19,15 +19,21 @@ def with_shard(df: DataFrame, id_col: str, depth: int, out: str = "shard") -> Da
     return df.withColumn(out, F.substring(digest(id_col), 1, depth))
 
 
-def to_units(column: str | Column, scale: int = 2) -> Column:
-    """Exact money. Cast before summing: floating sums depend on row order."""
+def to_units(column: str | Column, scale: int) -> Column:
+    """Exact money with 38 digits, ``scale`` of them after the point.
+
+    Cast before summing: floating sums depend on row order. Sums keep 38 digits too.
+    """
     column = F.col(column) if isinstance(column, str) else column
-    return column.cast(f"decimal(18,{scale})")
+    return column.cast(f"decimal(38,{scale})")
 
 
-def base_units(column: str | Column, scale: int = 2) -> Column:
-    """Money as a whole number of its smallest unit, for state kept outside the JVM."""
-    return (to_units(column, scale) * F.lit(10**scale)).cast("bigint")
+def base_units(column: str | Column, scale: int) -> Column:
+    """Money as a whole number of its smallest unit, as ``decimal(38,0)``."""
+    column = F.col(column) if isinstance(column, str) else column
+    # fewer digits before the product, which would else have more than 38
+    units = column.cast(f"decimal({38 - scale},{scale})")
+    return (units * F.lit(10**scale).cast(f"decimal({scale + 1},0)")).cast("decimal(38,0)")
 
 
 def micros(column: str | Column) -> Column:

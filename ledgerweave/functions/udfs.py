@@ -1,16 +1,12 @@
-"""Python-side functions: record decoding, a user aggregate and a user table function.
-
-Everything here works on Arrow batches inside Spark tasks; grouping and merging stay with
-Spark.
-"""
+"""Record decoding and combining on Arrow batches, a weighted mean, and JSON members as rows."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,14 +27,20 @@ def decode_records(df: DataFrame, keep: Sequence[str], binary: str, fields: Sequ
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(batch.schema.get_field_index(binary)).to_pylist()
-            good = np.array([value is not None and len(value) == width for value in raw], bool)
-            packed = b"".join(value for value, ok in zip(raw, good) if ok)
+            raw = batch.column(batch.schema.get_field_index(binary))
+            good = pc.fill_null(pc.equal(pc.binary_length(raw), width), False)
+            # whole records lie one after the other in the buffer of the values
+            whole = raw.filter(good).cast(pa.large_binary())
+            offsets = np.frombuffer(whole.buffers()[1], dtype=np.int64)[whole.offset :]
+            begin = int(offsets[0]) if len(whole) else 0
+            values = np.frombuffer(whole.buffers()[2] or b"", dtype=np.uint8)
             table = np.zeros((len(raw), len(names)), dtype=np.int64)
-            table[good] = np.frombuffer(packed, dtype=">i8").reshape(-1, len(names))
+            mask = good.to_numpy(zero_copy_only=False)
+            packed = values[begin : begin + len(whole) * width]
+            table[mask] = packed.view(">i8").reshape(-1, len(names))
             columns = [batch.column(batch.schema.get_field_index(name)) for name in keep]
             decoded = [
-                pa.array(table[:, i], type=pa.int64(), mask=~good) for i in range(len(names))
+                pa.array(table[:, i], type=pa.int64(), mask=~mask) for i in range(len(names))
             ]
             yield pa.RecordBatch.from_arrays(columns + decoded, names=keep + names)
 
@@ -62,51 +64,30 @@ def combine_batches(
 
 
 def weighted_mean(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
-    """User aggregate in mergeable form.
+    """Sum of weight times value over the sum of weights, per key; built-in sums do it.
 
-    A grouped-aggregate UDF would receive each whole group in one task. This one turns every
-    batch into (sum of weight * value, sum of weight) per key, and Spark adds those up.
+    Rows where either is null count in neither sum; NaN makes the result NaN, as in other
+    sums; weights that add up to zero give null.
     """
-    keys = list(keys)
-    typed = df.select(*keys, F.col(value).cast("double"), F.col(weight).cast("double"))
-    schema = ", ".join(
-        [f"`{name}` {df.schema[name].dataType.simpleString()}" for name in keys]
-        + ["_wx double", "_w double"]
-    )
-
-    def partial(table: pa.Table) -> pa.Table:
-        w = table.column(weight).to_numpy(zero_copy_only=False)
-        x = table.column(value).to_numpy(zero_copy_only=False)
-        usable = ~(np.isnan(w) | np.isnan(x))
-        table = table.select(keys)
-        table = table.append_column("_wx", pa.array(np.where(usable, w * x, 0.0)))
-        table = table.append_column("_w", pa.array(np.where(usable, w, 0.0)))
-        summed = table.group_by(keys).aggregate([("_wx", "sum"), ("_w", "sum")])
-        return summed.select([*keys, "_wx_sum", "_w_sum"]).rename_columns([*keys, "_wx", "_w"])
-
-    merged = combine_batches(typed, partial, schema).groupBy(*keys)
-    return merged.agg(
-        F.try_divide(F.sum("_wx"), F.sum("_w")).alias("weighted_mean")
+    x, w = F.col(value).cast("double"), F.col(weight).cast("double")
+    both = x.isNotNull() & w.isNotNull()
+    sums = df.groupBy(*keys).agg(
+        F.sum(F.when(both, w * x)).alias("_wx"), F.sum(F.when(both, w)).alias("_w")
     )
-
-
-@F.udtf(returnType="key string, value string", useArrow=True)
-class JsonPairs:
-    """The members of a JSON object as rows; strings as they are, other values as JSON."""
-
-    def eval(self, text: str):
-        if text is None:
-            return
-        try:
-            parsed = json.loads(text)
-        except ValueError:
-            return
-        if isinstance(parsed, dict):
-            for key, value in parsed.items():
-                yield key, value if isinstance(value, str) else json.dumps(value)
+    return sums.select(*keys, F.try_divide("_wx", "_w").alias("weighted_mean"))
 
 
 def json_rows(df: DataFrame, key: str, column: str) -> DataFrame:
-    """One row per member of the JSON object in ``column``, through the table function."""
-    pairs = JsonPairs(F.col(column).outer())
-    return df.select(key, column).lateralJoin(pairs).select(key, "key", "value")
+    """One row per member of the JSON object in ``column``: strings as they are, other values
+    as JSON. Text that is no JSON object has no members."""
+    parsed = F.try_parse_json(F.col(column))
+    flat = df.select(F.col(key), parsed.alias("_parsed"))
+    members = flat.filter(F.startswith(F.schema_of_variant("_parsed"), F.lit("OBJECT")))
+    exploded = members.lateralJoin(
+        flat.sparkSession.tvf.variant_explode(F.col("_parsed").outer())
+    ).filter(F.col("key").isNotNull())
+    text = F.coalesce(
+        F.when(F.schema_of_variant("value") == "STRING", F.expr("try_variant_get(value, '$', 'string')")),
+        F.to_json("value"),
+    )
+    return exploded.select(F.col(key), "key", text.alias("value"))

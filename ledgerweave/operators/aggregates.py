@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions.columns import to_units
 from ledgerweave.operators.hotkeys import MIN_SLICE_ROWS, KeyedOrder
+from ledgerweave.session import written
 
 
 # Sketches are first merged into this many, then into one.
@@ -24,6 +25,7 @@ def account_flow(
     tx_account: str,
     msg_key: str,
     value: str,
+    scale: int,
 ) -> DataFrame:
     """Message count and value per account (accounts with at least one message).
 
@@ -32,7 +34,7 @@ def account_flow(
     no shuffle of its own on that side, and a transaction with very many messages is one row.
     """
     per_tx = msg.groupBy(msg_key).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(to_units(value)).alias("v")
+        F.count(F.lit(1)).alias("n"), F.sum(to_units(value, scale)).alias("v")
     )
     per_account = (
         tx.select(tx_key, tx_account)
@@ -45,21 +47,23 @@ def account_flow(
     )
 
 
-def block_summary(tx: DataFrame, block: Column, ident: str, value: str) -> DataFrame:
+def block_summary(
+    tx: DataFrame, block: Column, ident: str, value: str, scale: int
+) -> DataFrame:
     """Count, value, first and last transaction id per block."""
     return tx.groupBy(block.alias("block")).agg(
         F.count(F.lit(1)).alias("n_tx"),
-        F.sum(to_units(value)).alias("total_value"),
+        F.sum(to_units(value, scale)).alias("total_value"),
         F.min(ident).alias("first_id"),
         F.max(ident).alias("last_id"),
     )
 
 
-def _finest(msg: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def _finest(msg: DataFrame, keys: Sequence[str], value: str, scale: int) -> DataFrame:
     # Grouping sets copy every input row once per set. Adding up on the finest keys first
     # makes that a copy of the few finest groups.
     return msg.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(to_units(value)).alias("_v")
+        F.count(F.lit(1)).alias("_n"), F.sum(to_units(value, scale)).alias("_v")
     )
 
 
@@ -71,20 +75,20 @@ def _levels(grouped, keys: Sequence[str]) -> DataFrame:
     ).select(*keys, "level", "n_messages", "total_value")
 
 
-def flow_rollup(msg: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def flow_rollup(msg: DataFrame, keys: Sequence[str], value: str, scale: int) -> DataFrame:
     """Hierarchical totals; ``level`` is the grouping id (0 = all keys present)."""
-    return _levels(_finest(msg, keys, value).rollup(*keys), keys)
+    return _levels(_finest(msg, keys, value, scale).rollup(*keys), keys)
 
 
-def flow_cube(msg: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return _levels(_finest(msg, keys, value).cube(*keys), keys)
+def flow_cube(msg: DataFrame, keys: Sequence[str], value: str, scale: int) -> DataFrame:
+    return _levels(_finest(msg, keys, value, scale).cube(*keys), keys)
 
 
 def flow_grouping_sets(
-    msg: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[str]], value: str
+    msg: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[str]], value: str, scale: int
 ) -> DataFrame:
     columns = [[F.col(name) for name in chosen] for chosen in sets]
-    finest = _finest(msg, keys, value)
+    finest = _finest(msg, keys, value, scale)
     return _levels(finest.groupingSets(columns, *[F.col(key) for key in keys]), keys)
 
 
@@ -132,7 +136,8 @@ def fee_percentile(
     two ranks, and a group with many distinct values is cut into slices.
     """
     histogram = msg.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    histogram = histogram.filter(F.col(value).isNotNull())
+    # counting its keys and using it are two readings, and more if a key is cut
+    histogram, _ = written(histogram.filter(F.col(value).isNotNull()), "histogram")
     ordered = KeyedOrder(histogram, keys, [value], (), min_slice_rows)
     ordered = ordered.sums({"_upto": F.col("_n")}, {"_all": F.col("_n")})
     place = F.lit(float(p)) * (F.col("_all") - 1)
@@ -149,10 +154,27 @@ def fee_percentile(
     )
 
 
-def heavy_destinations(
+def heavy_destinations(msg: DataFrame, destination: str, n: int) -> DataFrame:
+    """The ``n`` most frequent destinations with their counts, equals of the last included.
+
+    Exact: counts combine on the map side, each partition hands on its ``n`` largest, and the
+    last of these is the count that a destination must have. Null is no destination.
+    """
+    counts = (
+        msg.filter(F.col(destination).isNotNull())
+        .groupBy(destination)
+        .agg(F.count(F.lit(1)).alias("n_messages"))
+    )
+    counts, _ = written(counts, "destinations")
+    least = counts.orderBy(F.col("n_messages").desc()).limit(n).agg(F.min("n_messages"))
+    return counts.filter(F.col("n_messages") >= least.scalar())
+
+
+def heavy_destinations_approx(
     msg: DataFrame, destination: str, n: int, tracked: int = 10_000
 ) -> DataFrame:
-    """Approximate most frequent destinations, equals of the last place included.
+    """Approximate most frequent destinations, equals of the last place included, from one
+    pass and fixed memory; ``exact`` says whether all destinations were tracked.
 
     Sketches of fixed size, merged in two steps so that no task receives one from every map
     task; exact while there are no more than ``tracked`` distinct destinations. What is
@@ -166,12 +188,18 @@ def heavy_destinations(
     )
     merged = sketches.agg(F.expr("approx_top_k_combine(sketch)").alias("sketch"))
     top = F.expr(f"approx_top_k_estimate(sketch, {tracked})")
-    listed = merged.select(F.inline(top))
+    listed, _ = written(merged.select(F.inline(top)), "heavy")  # at most ``tracked`` rows
+    # a full sketch may have dropped some and counted their messages to others
+    exact = F.lit(listed.count() < tracked)
     place = F.rank().over(Window.orderBy(F.col("count").desc()))
     return (
         listed.withColumn("_place", place)
         .filter(F.col("_place") <= n)
-        .select(F.col("item").alias(destination), F.col("count").alias("n_messages"))
+        .select(
+            F.col("item").alias(destination),
+            F.col("count").alias("n_messages"),
+            exact.alias("exact"),
+        )
     )
 
 
@@ -182,9 +210,9 @@ def conservation_breaks(
     tx_total: str,
     msg_key: str,
     value: str,
-    scale: int = 2,
+    scale: int,
 ) -> DataFrame:
-    """Transactions whose total differs from the sum of their messages."""
+    """Transactions whose total differs from the sum of their messages, or is not known."""
     parts = msg.groupBy(msg_key).agg(F.sum(to_units(value, scale)).alias("parts"))
     total = to_units(tx_total, scale)
     return (
@@ -195,7 +223,8 @@ def conservation_breaks(
             tx_key,
             "total",
             F.coalesce("parts", F.lit(0).cast(parts.schema["parts"].dataType)).alias("parts"),
-            F.when(F.col("parts").isNull(), "no messages")
+            F.when(F.col("total").isNull(), "no total")
+            .when(F.col("parts").isNull(), "no messages")
             .when(F.col("parts") < F.col("total"), "short")
             .otherwise("over")
             .alias("kind"),
@@ -204,11 +233,18 @@ def conservation_breaks(
 
 
 def status_pivot(
-    tx: DataFrame, row_key: str | Column, col_key: str, values: Mapping[str, str]
+    tx: DataFrame,
+    row_key: str | Column,
+    col_key: str,
+    values: Mapping[str, str],
+    other: str = "other",
 ) -> DataFrame:
     """Counts spread to columns. ``values`` maps each known value to its column name, so no
-    job has to look for the values first; zero instead of null where nothing was counted."""
-    counted = tx.groupBy(row_key).pivot(col_key, list(values)).count()
-    spread = [F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(name) for v, name in values.items()]
-    rest = [name for name in counted.columns if name not in values]
-    return counted.select(*rest, *spread)
+    job has to look for the values first. Column ``other`` counts what is not among them,
+    null included, so each row's counts add up to its rows."""
+    listed = F.coalesce(F.col(col_key).cast("string").isin(list(values)), F.lit(False))
+    spread = [
+        F.count_if(F.col(col_key).cast("string") == value).alias(name)
+        for value, name in values.items()
+    ]
+    return tx.groupBy(row_key).agg(*spread, F.count_if(~listed).alias(other))

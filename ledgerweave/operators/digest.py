@@ -15,8 +15,14 @@ LEVELS = 10
 
 
 def row_text(columns: Sequence[str]) -> Column:
-    """Text that is hashed into a leaf: the columns as text, joined by ``|``; null is empty."""
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    """Text that is hashed into a leaf: each column's length in characters, ``:`` and its text,
+    or ``~`` for null. Rows that differ have different texts."""
+
+    def field(name: str) -> Column:
+        text = F.col(name).cast("string")
+        return F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("~"))
+
+    return F.concat(*[field(name) for name in columns])
 
 
 def _parents(nodes: Column) -> Column:

@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.session import drop_path, written
-
-# A set of new nodes is broadcast up to this many rows (one id each); beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
-
+from ledgerweave.session import drop_path, written, written_by
 
 def both_directions(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(
@@ -17,18 +13,15 @@ def both_directions(edges: DataFrame) -> DataFrame:
     )
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """Nodes within ``hops`` steps of the start nodes along (src, dst), with distance.
 
     ``start`` has one column ``node``. Every round joins the edges only with the nodes that
     were new in the round before. The edges are written once instead of being computed in
-    each round, and so is each round's table: a lost executor costs at most one round.
+    each round, laid out by ``src``, and so is each round's table: a lost executor costs at
+    most one round. Whether new nodes are broadcast is left to the size that execution sees.
     """
-    edges, _ = written(edges.select("src", "dst"), "edges")
+    edges, edges_path = written_by(edges.select("src", "dst"), "src", "edges")
     frontier, _ = written(start.select("node").distinct(), "reach")
     found = frontier.withColumn("distance", F.lit(0))
     size = frontier.count()
@@ -37,13 +30,14 @@ def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
             break
         # distinct combines before its shuffle, also behind a hub with very many neighbours
         step = (
-            edges.join(_bounded(frontier, size), F.col("src") == F.col("node"))
+            edges.join(frontier, F.col("src") == F.col("node"))
             .select(F.col("dst").alias("node"))
             .distinct()
         )
         frontier, _ = written(step.join(found.select("node"), "node", "left_anti"), "reach")
         size = frontier.count()
         found = found.unionByName(frontier.withColumn("distance", F.lit(distance)))
+    drop_path(edges.sparkSession, edges_path)
     return found
 
 

@@ -5,10 +5,10 @@ for ordinary accounts. For the few that hold far more than one task's share, the
 cut into consecutive slices of the order; each slice is a window partition of its own, and
 what the earlier slices contribute is added from a table with one row per slice.
 
-How many keys are cut, and into how many slices, depends on the number of shuffle
-partitions and not on the data: a hot key holds more than two partitions' share, so there
-are fewer hot keys than half the partitions and at most 1.5 slices per partition. That
-bound is what makes it safe to broadcast the per-slice tables.
+A slice holds a partition's share of the rows, but no fewer than ``min_slice_rows`` and no
+more than MAX_SLICE_ROWS. A hot key has more than two slices, so there are at most 1.5 slices
+per partition, or 1.5 per MAX_SLICE_ROWS rows of the table if that is more. That bound is what
+makes it safe to broadcast the per-slice tables: 50,000 rows of some bytes for 10^12 rows.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from ledgerweave.session import shuffle_width, written
 
 # Below this many rows one task sorts a key without trouble, whatever its share.
 MIN_SLICE_ROWS = 1_000_000
+# More rows than this are never left in one slice, however few partitions there are.
+MAX_SLICE_ROWS = 20_000_000
 # Sampled rows per slice when choosing where to cut; affects balance, never the result.
 SAMPLE_PER_SLICE = 50
 
@@ -48,43 +50,37 @@ class HotKeys:
     slices: int
 
 
+def _slice_rows(total: int, width: int, min_slice_rows: int) -> int:
+    return max(min_slice_rows, min(math.ceil(total / width), MAX_SLICE_ROWS))
+
+
 def find_hot_keys(
     df: DataFrame, keys: Sequence[str], min_slice_rows: int = MIN_SLICE_ROWS
 ) -> HotKeys | None:
     """Keys with more than two slices' worth of rows, or None.
 
-    One aggregation over the key columns alone, combined on the map side. What comes back
-    are the largest keys, as many as could possibly be hot: half the shuffle partitions.
+    One aggregation over the key columns alone, combined on the map side. Only if the largest
+    key is hot, a second one lists the hot keys.
     """
     spark = df.sparkSession
     width = shuffle_width(spark)
     if not keys:
         total = df.count()
-        share = max(min_slice_rows, math.ceil(total / width))
+        share = _slice_rows(total, width, min_slice_rows)
         if total <= 2 * share:
             return None
         slices = math.ceil(total / share)
         table = spark.createDataFrame([(total, slices)], "_rows bigint, _slices int")
         return HotKeys((), table, total, slices)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    largest = counts.orderBy(F.col("_rows").desc()).limit(max(1, width // 2))
-    everything = counts.agg(F.sum("_rows").alias("_rows"))
-    # one job: both branches read the same shuffle of counts
-    listed = (
-        largest.withColumn("_key", F.lit(True))
-        .unionByName(everything.withColumn("_key", F.lit(False)), allowMissingColumns=True)
-        .select(*keys, "_rows", "_key")
-        .collect()
-    )
-    total = sum(row["_rows"] or 0 for row in listed if not row["_key"])
-    share = max(min_slice_rows, math.ceil(total / width))
+    total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
+    share = _slice_rows(total or 0, width, min_slice_rows)
+    if not total or largest <= 2 * share:
+        return None
     found = [
         (*row[: len(keys)], row["_rows"], math.ceil(row["_rows"] / share))
-        for row in listed
-        if row["_key"] and row["_rows"] > 2 * share
+        for row in counts.filter(F.col("_rows") > 2 * share).collect()
     ]
-    if not found:
-        return None
     schema = T.StructType(
         [df.schema[key] for key in keys]
         + [T.StructField("_rows", T.LongType()), T.StructField("_slices", T.IntegerType())]
@@ -117,7 +113,10 @@ def _drop_renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def split_hot(
     df: DataFrame, keys: Sequence[str], min_slice_rows: int = MIN_SLICE_ROWS
 ) -> tuple[DataFrame, DataFrame | None]:
-    """The rows of ordinary keys, and those of hot keys (None if there are no hot keys)."""
+    """The rows of ordinary keys, and those of hot keys (None if there are no hot keys).
+
+    What is then ordered from the first part needs no counting: see ``NOTHING_HOT``.
+    """
     hot = find_hot_keys(df, keys, min_slice_rows)
     if hot is None:
         return df, None
@@ -126,6 +125,15 @@ def split_hot(
     return df.join(listed, condition, "left_anti"), df.join(listed, condition, "left_semi")
 
 
+# Given to KeyedOrder in place of a finding: its keys are known to be ordinary.
+NOTHING_HOT = "nothing hot"
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal ``keys``, null being equal to null; ``right``'s keys are dropped."""
+    return _drop_renamed(left.join(_renamed(right, keys), _same_keys(keys)), keys)
+
+
 def _slice_bounds(df: DataFrame, order: Sequence[str], hot: HotKeys) -> DataFrame:
     """Per hot key, the order positions where its slices begin, from a sample of its rows.
 
@@ -194,11 +202,14 @@ class KeyedOrder:
         order: Sequence[str],
         tie: Sequence[str] = (),
         min_slice_rows: int = MIN_SLICE_ROWS,
+        finding: HotKeys | str | None = None,
     ):
         self.keys = list(keys)
         self.order = list(order)
         self.tie = list(tie)
-        self.hot = find_hot_keys(df, self.keys, min_slice_rows)
+        if finding is None:
+            finding = find_hot_keys(df, self.keys, min_slice_rows)
+        self.hot = None if finding == NOTHING_HOT else finding
         if self.hot is None:
             self.df = df
             return

@@ -45,15 +45,15 @@ def assign_shard(
     """Each account with every shard whose prefix its digest starts with.
 
     A containment condition alone would compare every account with every shard. Here each
-    account is joined on equality, once per prefix length in use. There are at most
-    DIGEST_LENGTH + 1 lengths, whatever the number of shards.
+    account is joined on equality, once per prefix length in use: as many as there are
+    digits in a digest, or in the longest id, whatever the number of shards.
 
     ``hashed=False`` takes ``id_col`` itself as the hex id instead of its digest.
     """
     lengths = [
         row["n"]
         for row in shards.select(F.length(prefix_col).alias("n")).distinct().collect()
-        if row["n"] is not None and row["n"] <= DIGEST_LENGTH
+        if row["n"] is not None and not (hashed and row["n"] > DIGEST_LENGTH)
     ]
     if not lengths:
         return accounts.join(shards, F.lit(False), "inner")
@@ -99,20 +99,23 @@ def balance_at(tx: DataFrame, key: str, time: str, value: Column, until: Column)
 def state_diff(
     before: DataFrame, after: DataFrame, keys: Sequence[str], value: str
 ) -> DataFrame:
-    """Keys added, removed or changed between two states, with both values."""
-    left = before.select(*keys, F.col(value).alias("before"), F.lit(True).alias("_in_before"))
-    right = after.select(*keys, F.col(value).alias("after"), F.lit(True).alias("_in_after"))
+    """Keys added, removed or changed between two states, with both values.
+
+    One row per key in each state. Null is a key like others. Both states go through one
+    aggregation, which combines on the map side.
+    """
+    both = before.select(*keys, F.struct(F.col(value)).alias("_before")).unionByName(
+        after.select(*keys, F.struct(F.col(value)).alias("_after")), allowMissingColumns=True
+    )
     change = (
-        F.when(F.col("_in_before").isNull(), "added")
-        .when(F.col("_in_after").isNull(), "removed")
+        F.when(F.col("_before").isNull(), "added")
+        .when(F.col("_after").isNull(), "removed")
         .otherwise("changed")
     )
+    old, new = F.col(f"_before.{value}"), F.col(f"_after.{value}")
     return (
-        left.join(right, list(keys), "full")
-        .filter(
-            F.col("_in_before").isNull()
-            | F.col("_in_after").isNull()
-            | ~F.col("before").eqNullSafe(F.col("after"))
-        )
-        .select(*keys, "before", "after", change.alias("change"))
+        both.groupBy(*keys)
+        .agg(F.max("_before").alias("_before"), F.max("_after").alias("_after"))
+        .filter(F.col("_before").isNull() | F.col("_after").isNull() | ~old.eqNullSafe(new))
+        .select(*keys, old.alias("before"), new.alias("after"), change.alias("change"))
     )

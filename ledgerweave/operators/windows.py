@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.operators.hotkeys import MIN_SLICE_ROWS, KeyedOrder
+from ledgerweave.session import written
 
 
 def running_balance(
@@ -46,7 +47,8 @@ def chain_gaps(
     min_slice_rows: int = MIN_SLICE_ROWS,
 ) -> DataFrame:
     """Runs of missing sequence numbers between the first and last block of each shard."""
-    present = blocks.select(*shard, seqno).distinct()
+    # counting its keys and using it are two readings of the distinct rows
+    present, _ = written(blocks.select(*shard, seqno).distinct(), "present")
     ordered = KeyedOrder(present, shard, [seqno], (), min_slice_rows)
     linked = ordered.last("_prev", F.col(seqno), inclusive=False).done()
     return linked.filter(F.col(seqno) - F.col("_prev") > 1).select(
@@ -69,9 +71,10 @@ def quorum(
 
     With ``more_than`` the set must exceed two thirds, otherwise reaching them is enough.
     A validator belongs while those before it fall short. ``weight`` must be an integer or
-    a decimal: the comparison is exact and divides nothing.
+    a decimal: the comparison is exact and divides nothing. ``validators`` is written once,
+    as it is often an aggregate and is read twice.
     """
-    heaviest = validators.withColumn("_light", -F.col(weight))
+    heaviest, _ = written(validators.withColumn("_light", -F.col(weight)), "validators")
     ordered = KeyedOrder(heaviest, keys, ["_light", ident], (), min_slice_rows)
     ordered = ordered.sums({"cumulative": F.col(weight)}, {"total": F.col(weight)})
     before = (F.col("cumulative") - F.col(weight)) * 3

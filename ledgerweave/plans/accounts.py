@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions.columns import to_units
 from ledgerweave.operators import joins, temporal, windows
-from ledgerweave.plans.registry import SMALL_SLICES, plan
+from ledgerweave.plans.registry import CENTS, SMALL_SLICES, plan
+from ledgerweave.session import written
 from ledgerweave.sources.ledger import Ledger
 
 _RUNNING_SQL = """
@@ -22,7 +23,7 @@ _RUNNING_SQL = """
 def _running(t: Ledger, key: str, **options) -> DataFrame:
     tx = t.orders.select("o_orderkey", key, "o_orderdate", "o_totalprice")
     balance = windows.running_balance(
-        tx, key, ["o_orderdate", "o_orderkey"], to_units("o_totalprice"), **options
+        tx, key, ["o_orderdate", "o_orderkey"], to_units("o_totalprice", CENTS), **options
     )
     return balance.select("o_orderkey", key, "balance")
 
@@ -83,7 +84,7 @@ _TRAILING_SQL = """
 def _trailing(t: Ledger, key: str, **options) -> DataFrame:
     tx = t.orders.select("o_orderkey", key, "o_orderdate", "o_totalprice")
     volume = temporal.trailing_volume(
-        tx, key, "o_orderdate", to_units("o_totalprice"), 7, **options
+        tx, key, "o_orderdate", to_units("o_totalprice", CENTS), 7, **options
     )
     return volume.select("o_orderkey", key, "volume", "n_tx")
 
@@ -98,6 +99,23 @@ def trailing_volume_hot(t: Ledger) -> DataFrame:
     return _trailing(t, "o_orderstatus", min_slice_rows=SMALL_SLICES)
 
 
+_NO_STATUS = "(SELECT *, nullif(o_orderstatus, 'F') AS status FROM orders)"
+
+
+def _without_status(t: Ledger) -> DataFrame:
+    """Orders with a key that is null for a large share of the rows."""
+    return t.orders.withColumn("status", F.nullif("o_orderstatus", F.lit("F")))
+
+
+@plan(_TRAILING_SQL.format(key="status").replace("FROM orders", f"FROM {_NO_STATUS}"))
+def trailing_volume_null(t: Ledger) -> DataFrame:
+    """The rows without a key are one account, and it is cut."""
+    tx = _without_status(t).select("o_orderkey", "status", "o_orderdate", "o_totalprice")
+    value = to_units("o_totalprice", CENTS)
+    volume = temporal.trailing_volume(tx, "status", "o_orderdate", value, 7, SMALL_SLICES)
+    return volume.select("o_orderkey", "status", "volume", "n_tx")
+
+
 _FOLLOW_SQL = """
     SELECT a.o_orderkey, a.{key}, a.o_orderdate, CAST(count(*) AS BIGINT) AS n_follow_ups,
            arg_min(b.o_orderkey, (b.o_orderdate, b.o_orderkey)) AS first_id,
@@ -123,6 +141,18 @@ def follow_ups_hot(t: Ledger) -> DataFrame:
     )
 
 
+@plan(
+    _FOLLOW_SQL.format(key="status")
+    .replace("a.status = b.status", "a.status IS NOT DISTINCT FROM b.status")
+    .replace("orders a", f"{_NO_STATUS} a")
+    .replace("orders b", f"{_NO_STATUS} b")
+)
+def follow_ups_null(t: Ledger) -> DataFrame:
+    """The rows without a key are one account, and it is cut."""
+    tx = _without_status(t).select("o_orderkey", "status", "o_orderdate")
+    return temporal.follow_ups(tx, "status", "o_orderdate", "o_orderkey", 30, SMALL_SLICES)
+
+
 @plan("""
     SELECT c_custkey, c_name, o_orderdate, o_orderkey, o_totalprice FROM customer JOIN (
       SELECT o_custkey, o_orderdate, o_orderkey, o_totalprice FROM orders
@@ -170,6 +200,7 @@ def _as_of_each(t: Ledger, key: str, **options) -> DataFrame:
         "o_orderkey",
         "l_orderkey",
     ).drop("o_orderkey")
+    probes, _ = written(probes, "probes")  # a join, read once to count keys and once for use
     found = temporal.state_as_of_each(
         records,
         probes,
@@ -219,7 +250,7 @@ def state_diff(t: Ledger) -> DataFrame:
     def at(day: str) -> DataFrame:
         until = F.lit(day).cast("timestamp_ntz")
         return joins.balance_at(
-            t.orders, "o_custkey", "o_orderdate", to_units("o_totalprice"), until
+            t.orders, "o_custkey", "o_orderdate", to_units("o_totalprice", CENTS), until
         )
 
     found = joins.state_diff(at("1998-01-01"), at("1998-02-01"), ["o_custkey"], "balance")
@@ -245,7 +276,7 @@ def _sessions(t: Ledger, key: str, gap_seconds: int, **options) -> DataFrame:
     events = t.events.select(key, "ts", "event_id", "value")
     aggregates = [
         F.count(F.lit(1)).alias("n_events"),
-        F.sum(to_units("value")).alias("total_value"),
+        F.sum(to_units("value", CENTS)).alias("total_value"),
     ]
     return temporal.sessions_batch(events, key, "ts", "event_id", gap_seconds, aggregates, **options)
 

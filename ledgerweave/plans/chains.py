@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.functions.columns import to_units, with_shard
+from ledgerweave.functions.columns import base_units, with_shard
 from ledgerweave.operators import digest, windows
 from ledgerweave.plans.registry import SMALL_SLICES, plan
 from ledgerweave.sources import layout
@@ -122,11 +122,13 @@ def canonical_order(t: Ledger) -> DataFrame:
 @plan("""
     WITH RECURSIVE leaves AS (
       SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i,
-             unhex(sha256(concat_ws('|', o_orderkey, o_custkey,
-               CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * 100) AS BIGINT),
-               o_orderstatus))) AS h,
+             unhex(sha256(concat(length(a), ':', a, length(b), ':', b, length(c), ':', c,
+                                 length(d), ':', d))) AS h,
              count(*) OVER () AS n
-      FROM orders),
+      FROM (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS a, CAST(o_custkey AS VARCHAR) AS b,
+                   CAST(CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * 100) AS BIGINT)
+                        AS VARCHAR) AS c,
+                   o_orderstatus AS d FROM orders)),
     tree AS (
       SELECT i, h, n FROM leaves
       UNION ALL
@@ -142,7 +144,7 @@ def tree_digest(t: Ledger) -> DataFrame:
     rows = t.orders.select(
         "o_orderkey",
         "o_custkey",
-        (to_units("o_totalprice") * 100).cast("bigint").alias("cents"),
+        base_units("o_totalprice", 2).cast("bigint").alias("cents"),
         "o_orderstatus",
     )
     text = digest.row_text(["o_orderkey", "o_custkey", "cents", "o_orderstatus"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions.columns import (
     base64_form,
+    base_units,
     block_day,
     hex_form,
     json_field,
@@ -16,7 +17,7 @@ from ledgerweave.functions.columns import (
     with_shard,
 )
 from ledgerweave.operators import aggregates, joins, ranking, sets, slices
-from ledgerweave.plans.registry import SMALL_SLICES, plan
+from ledgerweave.plans.registry import CENTS, SMALL_SLICES, plan
 from ledgerweave.sources.ledger import Ledger
 
 
@@ -38,6 +39,7 @@ def account_flow(t: Ledger) -> DataFrame:
         tx_account="o_custkey",
         msg_key="l_orderkey",
         value="l_extendedprice",
+        scale=CENTS,
     )
 
 
@@ -51,7 +53,7 @@ def shard_totals(t: Ledger) -> DataFrame:
     return (
         with_shard(t.customer, "c_custkey", 1)
         .groupBy("shard")
-        .agg(F.count(F.lit(1)).alias("n_accounts"), F.sum(to_units("c_acctbal")).alias("balance"))
+        .agg(F.count(F.lit(1)).alias("n_accounts"), F.sum(to_units("c_acctbal", CENTS)).alias("balance"))
     )
 
 
@@ -61,7 +63,7 @@ def shard_totals(t: Ledger) -> DataFrame:
     FROM orders
 """)
 def order_units(t: Ledger) -> DataFrame:
-    cents = (to_units("o_totalprice") * 100).cast("bigint")
+    cents = base_units("o_totalprice", CENTS).cast("bigint")
     return t.orders.select("o_orderkey", "o_custkey", cents.alias("cents"))
 
 
@@ -137,7 +139,7 @@ def account_edges(t: Ledger) -> DataFrame:
 """)
 def block_summary(t: Ledger) -> DataFrame:
     return aggregates.block_summary(
-        t.orders, block_day("o_orderdate"), "o_orderkey", "o_totalprice"
+        t.orders, block_day("o_orderdate"), "o_orderkey", "o_totalprice", CENTS
     )
 
 
@@ -161,19 +163,19 @@ _FLOW_SQL = """
 
 @plan(_FLOW_SQL.format(grouping="ROLLUP (l_returnflag, l_linestatus)"))
 def flow_rollup(t: Ledger) -> DataFrame:
-    return _labelled(aggregates.flow_rollup(t.lineitem, _FLOW_KEYS, "l_extendedprice"))
+    return _labelled(aggregates.flow_rollup(t.lineitem, _FLOW_KEYS, "l_extendedprice", CENTS))
 
 
 @plan(_FLOW_SQL.format(grouping="CUBE (l_returnflag, l_linestatus)"))
 def flow_cube(t: Ledger) -> DataFrame:
-    return _labelled(aggregates.flow_cube(t.lineitem, _FLOW_KEYS, "l_extendedprice"))
+    return _labelled(aggregates.flow_cube(t.lineitem, _FLOW_KEYS, "l_extendedprice", CENTS))
 
 
 @plan(_FLOW_SQL.format(grouping="GROUPING SETS ((l_returnflag), (l_linestatus), ())"))
 def flow_grouping_sets(t: Ledger) -> DataFrame:
     wanted = [["l_returnflag"], ["l_linestatus"], []]
     return _labelled(
-        aggregates.flow_grouping_sets(t.lineitem, _FLOW_KEYS, wanted, "l_extendedprice")
+        aggregates.flow_grouping_sets(t.lineitem, _FLOW_KEYS, wanted, "l_extendedprice", CENTS)
     )
 
 
@@ -185,26 +187,35 @@ def distinct_parties(t: Ledger) -> DataFrame:
     return aggregates.distinct_parties(t.lineitem, ["l_returnflag"], "l_suppkey")
 
 
-@plan()
-def distinct_parties_approx(t: Ledger) -> DataFrame:
-    return aggregates.distinct_parties_approx(t.lineitem, ["l_returnflag"], "l_partkey")
-
-
-@plan("""
+_APPROX_SQL = """
     SELECT l_returnflag, CAST(count(DISTINCT l_partkey) AS BIGINT) AS exact,
            true AS within_bound
     FROM lineitem GROUP BY 1
-""")
+"""
+
+
+def _within(exact: DataFrame, estimate: DataFrame) -> DataFrame:
+    """Whether each estimate is within four standard errors of the sketch's precision."""
+    bound = 4 * 1.04 / 2**7
+    off = F.abs(F.col("n_parties") - F.col("exact")) / F.col("exact")
+    joined = exact.withColumnRenamed("n_parties", "exact").join(estimate, "l_returnflag")
+    return joined.select("l_returnflag", "exact", (off <= bound).alias("within_bound"))
+
+
+@plan(_APPROX_SQL)
+def distinct_parties_approx(t: Ledger) -> DataFrame:
+    exact = aggregates.distinct_parties(t.lineitem, ["l_returnflag"], "l_partkey")
+    direct = aggregates.distinct_parties_approx(t.lineitem, ["l_returnflag"], "l_partkey")
+    return _within(exact, direct)
+
+
+@plan(_APPROX_SQL)
 def distinct_parties_error(t: Ledger) -> DataFrame:
-    """Sketch against exact count; four standard errors of the sketch's precision."""
+    """The same with finer sketches that are stored and merged."""
     exact = aggregates.distinct_parties(t.lineitem, ["l_returnflag"], "l_partkey")
     fine = aggregates.parties_sketch(t.lineitem, ["l_returnflag", "l_linestatus"], "l_partkey")
     merged = aggregates.merge_sketches(fine, ["l_returnflag"])
-    bound = 4 * 1.04 / 2**7
-    off = F.abs(F.col("n_parties") - F.col("exact")) / F.col("exact")
-    return exact.withColumnRenamed("n_parties", "exact").join(merged, "l_returnflag").select(
-        "l_returnflag", "exact", (off <= bound).alias("within_bound")
-    )
+    return _within(exact, merged)
 
 
 _PERCENTILE_SQL = """
@@ -239,10 +250,18 @@ def fee_percentile_cut(t: Ledger) -> DataFrame:
     FROM lineitem GROUP BY 1 QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 10
 """)
 def heavy_destinations(t: Ledger) -> DataFrame:
-    """Exact as long as the sketch tracks every destination, which it does on the test tables."""
     return aggregates.heavy_destinations(t.lineitem, "l_suppkey", 10)
 
 
+@plan("""
+    SELECT l_partkey, CAST(count(*) AS BIGINT) AS n_messages
+    FROM lineitem GROUP BY 1 QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 25
+""")
+def heavy_parts(t: Ledger) -> DataFrame:
+    """The same where there are many destinations, each with few messages."""
+    return aggregates.heavy_destinations(t.lineitem, "l_partkey", 25)
+
+
 @plan("""
     SELECT o_orderkey, CAST(total AS DOUBLE) AS total, CAST(parts AS DOUBLE) AS parts, kind
     FROM (
@@ -256,7 +275,7 @@ def heavy_destinations(t: Ledger) -> DataFrame:
 """)
 def conservation_breaks(t: Ledger) -> DataFrame:
     return aggregates.conservation_breaks(
-        t.orders, t.lineitem, "o_orderkey", "o_totalprice", "l_orderkey", "l_extendedprice"
+        t.orders, t.lineitem, "o_orderkey", "o_totalprice", "l_orderkey", "l_extendedprice", CENTS
     )
 
 
@@ -264,7 +283,9 @@ def conservation_breaks(t: Ledger) -> DataFrame:
     SELECT o_orderpriority,
            CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS finished,
            CAST(count(*) FILTER (o_orderstatus = 'O') AS BIGINT) AS open,
-           CAST(count(*) FILTER (o_orderstatus = 'P') AS BIGINT) AS partial
+           CAST(count(*) FILTER (o_orderstatus = 'P') AS BIGINT) AS partial,
+           CAST(count(*) FILTER (o_orderstatus NOT IN ('F', 'O', 'P') OR o_orderstatus IS NULL)
+                AS BIGINT) AS other
     FROM orders GROUP BY 1
 """)
 def status_pivot(t: Ledger) -> DataFrame:
@@ -350,7 +371,7 @@ def dedupe_by_digest(t: Ledger) -> DataFrame:
 """)
 def hourly_buckets(t: Ledger) -> DataFrame:
     return t.events.groupBy(time_bucket("ts", "1 hour").alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n_events"), F.sum(to_units("value")).alias("total_value")
+        F.count(F.lit(1)).alias("n_events"), F.sum(to_units("value", CENTS)).alias("total_value")
     )
 
 

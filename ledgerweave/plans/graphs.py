@@ -81,7 +81,7 @@ def components(t: Ledger) -> DataFrame:
 @plan("""
     WITH RECURSIVE edges AS (
       SELECT DISTINCT o_custkey * 2 AS a, l_suppkey * 2 + 1 AS b
-      FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 49.5),
+      FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
     both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
     walk AS (
       SELECT a AS node, a AS label FROM both_ways
@@ -90,10 +90,9 @@ def components(t: Ledger) -> DataFrame:
     SELECT node, min(label) AS component FROM walk GROUP BY 1
 """)
 def account_components(t: Ledger) -> DataFrame:
-    """Accounts connected by large messages."""
-    large = t.lineitem.filter(F.col("l_quantity") >= 49.5)
+    """Accounts connected by messages."""
     pairs = joins.account_edges(
-        t.orders, large, "o_orderkey", "l_orderkey", "o_custkey", "l_suppkey"
+        t.orders, t.lineitem, "o_orderkey", "l_orderkey", "o_custkey", "l_suppkey"
     )
     edges = pairs.select((F.col("src") * 2).alias("src"), (F.col("dst") * 2 + 1).alias("dst"))
     return graph.components(edges)

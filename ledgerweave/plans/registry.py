@@ -15,6 +15,8 @@ from ledgerweave.sources.ledger import Ledger
 # Slice size for queries that are registered to show the cutting of hot keys: small enough
 # that the test tables are cut too.
 SMALL_SLICES = 500
+# Digits after the point of the money in the given tables.
+CENTS = 2
 
 
 @dataclass(frozen=True)

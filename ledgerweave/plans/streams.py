@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.columns import base_units, micros
-from ledgerweave.plans.registry import plan
-from ledgerweave.session import apply_runtime_defaults, scratch_path, shuffle_width
+from ledgerweave.plans.registry import CENTS, plan
+from ledgerweave.session import apply_runtime_defaults, drop_path, scratch_path, shuffle_width
 from ledgerweave.sources import streams as sources
 from ledgerweave.sources.ledger import Ledger
 from ledgerweave.streaming import late, stateful, windows
@@ -63,14 +63,23 @@ def _parted(events: DataFrame) -> tuple[DataFrame, int]:
 def _feed(
     t: Ledger, arrivals: DataFrame, arrives: Column, parts: int, run: Callable[[DataFrame], object]
 ) -> None:
-    """Add the rows part by part to a folder and let ``run`` take up the new ones each time."""
-    landing = scratch_path(t.spark, "landing")
+    """Let ``run`` take up the rows part by part, each part going on from the one before.
+
+    The rows are written once, a folder for each part; the stream's folder is then added to by
+    moving in one part after the other.
+    """
+    staged, landing = scratch_path(t.spark, "staged"), scratch_path(t.spark, "landing")
     schema = arrivals.schema
+    part_column = "_arrives"
+    arrivals.withColumn(part_column, arrives).write.partitionBy(part_column).parquet(staged)
     session = _streaming(t).spark
+    stream_schema = sources.stream_source(session, staged, schema).schema
     for part in range(parts):
-        arrivals.filter(arrives == part).write.mode("append").parquet(landing)
-        stream = sources.stream_source(session, landing, schema)
+        sources.move_in(session, f"{staged}/{part_column}={part}", f"{landing}/{part}")
+        stream = sources.stream_source(session, f"{landing}/*", stream_schema)
         run(sources.with_event_time(stream, "ts"))
+    drop_path(t.spark, staged)
+    drop_path(t.spark, landing)
 
 
 def _collected(t: Ledger, operator: Callable[[DataFrame], DataFrame]):
@@ -109,7 +118,7 @@ _CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTES FROM events)"
 """)
 def tumbling_counts(t: Ledger) -> DataFrame:
     return _over_table(
-        t, lambda s: windows.tumbling_counts(s, "ts", DELAY, "1 hour", ["event_type"], "value")
+        t, lambda s: windows.tumbling_counts(s, "ts", DELAY, "1 hour", ["event_type"], "value", CENTS)
     )
 
 
@@ -126,7 +135,7 @@ def tumbling_counts(t: Ledger) -> DataFrame:
 """)
 def sliding_counts(t: Ledger) -> DataFrame:
     return _over_table(
-        t, lambda s: windows.sliding_counts(s, "ts", DELAY, "1 hour", "15 minutes", [], "value")
+        t, lambda s: windows.sliding_counts(s, "ts", DELAY, "1 hour", "15 minutes", [], "value", CENTS)
     )
 
 
@@ -146,7 +155,7 @@ def sliding_counts(t: Ledger) -> DataFrame:
 """)
 def sessions(t: Ledger) -> DataFrame:
     return _over_table(
-        t, lambda s: windows.sessions(s, "ts", DELAY, "30 minutes", ["user_id"], "value")
+        t, lambda s: windows.sessions(s, "ts", DELAY, "30 minutes", ["user_id"], "value", CENTS)
     )
 
 
@@ -210,10 +219,10 @@ _TOTALS_SQL = f"""
 def _totals(t: Ledger, operator: Callable[..., DataFrame]) -> DataFrame:
     events, _ = _parted(t.events)
     run, read = _collected(
-        t, lambda s: operator(s.withColumn("cents", base_units("value")), "user_id", "cents")
+        t, lambda s: operator(s.withColumn("cents", base_units("value", CENTS)), "user_id", "cents")
     )
     _feed(t, events, F.col("part"), PARTS, run)
-    return read()
+    return read().withColumn("total", F.col("total").cast("bigint"))
 
 
 @plan(_TOTALS_SQL)

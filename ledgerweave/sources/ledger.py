@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,15 +62,39 @@ def schema_differences(found: T.StructType, declared: T.StructType) -> list[str]
 
 
 def load_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """One table with its declared schema, after checking the one on disk."""
+    """One table with its declared schema, after checking that of all its files.
+
+    Spark reads the footers in a distributed job and puts their columns together, so a column
+    that only some files have, or have with another type, is drift. A file that lacks a column
+    which others have gives nulls; ``missing_columns`` finds such files by reading them.
+    """
     path = f"{directory.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
+    try:
+        df = spark.read.option("mergeSchema", "true").parquet(path)
+    except PySparkException as error:
+        if "MERGE" not in str(error):
+            raise
+        raise SchemaDrift(f"{path}: files have different types: {error}") from error
     differences = schema_differences(df.schema, declared_schema(name))
     if differences:
         raise SchemaDrift(f"{path}: " + "; ".join(differences))
     return df.select(*declared_schema(name).names)
 
 
+def missing_columns(df: DataFrame) -> DataFrame:
+    """``file, column`` where a file has no value of a column that other files have."""
+    counts = df.groupBy(F.input_file_name().alias("file")).agg(
+        *[F.count(F.col(f"`{name}`")).alias(name) for name in df.columns]
+    )
+    filled = F.map_from_arrays(
+        F.array(*[F.lit(name) for name in df.columns]),
+        F.array(*[F.col(f"`{name}`") for name in df.columns]),
+    )
+    long = counts.select("file", F.explode(filled).alias("column", "values"))
+    somewhere = long.groupBy("column").agg(F.sum("values").alias("all")).filter("all > 0")
+    return long.filter("values = 0").join(somewhere, "column", "left_semi").select("file", "column")
+
+
 def load_ledger(
     spark: SparkSession, directory: str, names: Iterable[str] | None = None
 ) -> dict[str, DataFrame]:

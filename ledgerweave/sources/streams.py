@@ -45,6 +45,16 @@ def with_event_time(stream: DataFrame, column: str) -> DataFrame:
     return stream.withColumn(column, F.col(column).cast("timestamp"))
 
 
+def move_in(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder, or make an empty one if there is none to rename."""
+    jvm = spark.sparkContext._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    files = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(new.getParent())
+    if not (files.exists(old) and files.rename(old, new)):
+        files.mkdirs(new)
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process what is there now in append mode into parquet files, then stop."""
     query = (
@@ -59,14 +69,33 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     return query
 
 
+def finished_batches(spark: SparkSession, path: str) -> list[int]:
+    """Ids of the folders ``batch=<id>`` in ``path`` that were written to the end, ascending."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        return []
+    done = [
+        status.getPath().getName()
+        for status in files.listStatus(target)
+        if files.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
+    ]
+    return sorted(int(name.partition("=")[2]) for name in done)
+
+
 class LatestState:
     """Newest row per key, kept as files that each micro-batch rewrites only where touched.
 
     Keys are hashed into ``buckets``. A batch reads the current files of the buckets it
-    touches, merges, and writes ``rows/batch=<id>/bucket=<n>``; after that it writes which
-    buckets it rewrote under ``commits``. Readers take, per bucket, the newest committed
-    batch. A batch that runs again after a failure reads only older batches and replaces
-    its own folders, so its result is the same.
+    touches, merges, and writes ``rows/batch=<id>/bucket=<n>``; after that it writes a commit,
+    ``commits/batch=<id>``: for every bucket the batch that wrote its current files, one row per
+    bucket. Readers take the newest commit and read the folders it names, so what is read does
+    not grow with the number of batches. A batch that runs again after a failure goes by the
+    newest commit before its own and replaces its own folders, so its result is the same.
+
+    A bucket is read and written by one task; choose ``buckets`` so that one holds about a
+    file's worth of rows.
     """
 
     def __init__(
@@ -86,31 +115,29 @@ class LatestState:
         self.order = list(order)
         self.buckets = buckets
 
-    def _read(self, path: str, columns: str | T.StructType) -> DataFrame | None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        if not target.getFileSystem(conf).exists(target):
-            return None
-        return self.spark.read.schema(columns).parquet(path)
+    def _commits(self) -> list[int]:
+        """Ids of the finished commits, ascending; two after ``drop_replaced``."""
+        return finished_batches(self.spark, self.commits_path)
 
-    def _current(self, before: int | None = None) -> DataFrame | None:
-        commits = self._read(self.commits_path, "bucket int, batch bigint")
-        if commits is None:
+    def _places(self, commit: int | None) -> dict[int, int]:
+        """The batch that wrote each bucket, as of a commit."""
+        if commit is None:
+            return {}
+        table = self.spark.read.schema("bucket int, written bigint").parquet(
+            f"{self.commits_path}/batch={commit}"
+        )
+        return {row["bucket"]: row["written"] for row in table.collect()}
+
+    def _rows(self, places: dict[int, int]) -> DataFrame | None:
+        if not places:
             return None
-        if before is not None:
-            commits = commits.filter(F.col("batch") < before)
-        newest = commits.groupBy("bucket").agg(F.max("batch").alias("batch"))
+        folders = [f"{self.rows_path}/batch={batch}/bucket={n}" for n, batch in places.items()]
         columns = T.StructType(
             self.schema.fields
             + [T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())]
         )
-        rows = self._read(self.rows_path, columns)
-        if before is not None:
-            # keeps a half-written folder of the batch being repeated out of the scan
-            rows = rows.filter(F.col("batch") < before)
-        # one row per bucket: its size is fixed by the number of buckets
-        return rows.join(F.broadcast(newest), ["bucket", "batch"]).drop("batch")
+        reader = self.spark.read.schema(columns).option("basePath", self.rows_path)
+        return reader.parquet(*folders).drop("batch")
 
     def _newest_rows(self, df: DataFrame) -> DataFrame:
         payload = F.struct(*self.schema.names)
@@ -127,52 +154,44 @@ class LatestState:
         arrived = self._newest_rows(
             batch.select(*self.schema.names).withColumn("bucket", bucket)
         ).persist()
-        touched = arrived.select("bucket").distinct()
-        kept = self._current(before=batch_id)
-        merged = arrived
-        if kept is not None:
-            merged = self._newest_rows(
-                kept.join(F.broadcast(touched), "bucket").unionByName(arrived)
-            )
-        own = f"{self.rows_path}/batch={batch_id}"
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(own)
-        touched.write.mode("overwrite").parquet(f"{self.commits_path}/batch={batch_id}")
+        touched = [row["bucket"] for row in arrived.select("bucket").distinct().collect()]
+        earlier = [commit for commit in self._commits() if commit < batch_id]
+        places = self._places(earlier[-1] if earlier else None)
+        kept = self._rows({n: places[n] for n in touched if n in places})
+        merged = arrived if kept is None else self._newest_rows(kept.unionByName(arrived))
+        # one task, and so one file, for each bucket
+        merged.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy(
+            "bucket"
+        ).parquet(f"{self.rows_path}/batch={batch_id}")
+        places |= {n: batch_id for n in touched}
+        commit = self.spark.createDataFrame(sorted(places.items()), "bucket int, written bigint")
+        commit.coalesce(1).write.mode("overwrite").parquet(f"{self.commits_path}/batch={batch_id}")
         arrived.unpersist()
 
     def read(self) -> DataFrame:
-        current = self._current()
+        commits = self._commits()
+        current = self._rows(self._places(commits[-1] if commits else None))
         if current is None:
             return self.spark.createDataFrame([], self.schema)
         return current.select(*self.schema.names)
 
     def drop_replaced(self) -> int:
-        """Delete bucket files that neither a reader nor a repeat of the last batch needs.
+        """Delete commits but the last two, and the bucket files that only those name.
 
-        The last batch may run again and then reads what was newest before it, so that
-        version stays too. Not while a batch or a reader is running. Looks only at the
-        commits, one row per batch and touched bucket.
+        The last batch may run again and then goes by the commit before it, so that one stays.
+        Not while a batch or a reader is running. Returns how many bucket folders were
+        deleted; what is gone is not looked at again.
         """
-        commits = self._read(self.commits_path, "bucket int, batch bigint")
-        if commits is None:
-            return 0
-        last = commits.agg(F.max("batch")).first()[0]
-        if last is None:
-            return 0
-        newest = (
-            commits.filter(F.col("batch") < last)
-            .groupBy("bucket")
-            .agg(F.max("batch").alias("newest"))
-        )
-        replaced = (
-            commits.join(F.broadcast(newest), "bucket")
-            .filter(F.col("batch") < F.col("newest"))
-            .select("batch", "bucket")
-        )
-        dropped = 0
-        for row in replaced.toLocalIterator():
-            drop_path(self.spark, f"{self.rows_path}/batch={row['batch']}/bucket={row['bucket']}")
-            dropped += 1
-        return dropped
+        commits = self._commits()
+        needed = {place for c in commits[-2:] for place in self._places(c).items()}
+        dropped = set()
+        for commit in commits[:-2]:
+            for place in self._places(commit).items():
+                if place not in needed and place not in dropped:
+                    dropped.add(place)
+                    drop_path(self.spark, f"{self.rows_path}/batch={place[1]}/bucket={place[0]}")
+            drop_path(self.spark, f"{self.commits_path}/batch={commit}")
+        return len(dropped)
 
     def clear(self) -> None:
         drop_path(self.spark, self.rows_path)
@@ -191,4 +210,5 @@ def upsert_accounts(
         .start()
     )
     query.awaitTermination()
+    state.drop_replaced()  # no batch runs now
     return state

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerweave.session import drop_path
+from ledgerweave.sources.streams import finished_batches
+
 
 class LateReport:
     """Splits each micro-batch into on-time and late rows, and keeps both.
 
     A row is late if its event time is before the high-water mark of all *earlier* batches
     less the delay. Each batch writes under its own id (``rows/batch=<id>/_late=<bool>`` and
-    ``marks/batch=<id>``) and reads only the marks of smaller ids, so a batch that runs again
-    replaces its own output and decides as it did before.
+    ``marks/batch=<id>``), and its mark is that of all batches so far. It reads the mark of the
+    last smaller id alone, so a batch that runs again replaces its own output and decides as it
+    did before. Marks before the last two are deleted.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema, time: str, delay: str):
@@ -27,10 +31,11 @@ class LateReport:
 
     def split(self, batch: DataFrame, batch_id: int) -> None:
         """``foreachBatch`` target."""
+        marks = f"{self.path}/marks"
+        earlier = [b for b in finished_batches(self.spark, marks) if b < batch_id]
         high = None
-        if batch_id > 0:
-            marks = self._read("marks", "high bigint, batch bigint")
-            high = marks.filter(F.col("batch") < batch_id).agg(F.max("high")).first()[0]
+        if earlier:
+            high = self._read(f"marks/batch={earlier[-1]}", "high bigint").first()[0]
         if high is None:
             is_late = F.lit(False)
         else:
@@ -38,11 +43,14 @@ class LateReport:
             bound = F.timestamp_micros(F.lit(high)) - F.expr(f"INTERVAL {self.delay}")
             is_late = F.coalesce(F.col(self.time) < bound, F.lit(False))
         own = f"{self.path}/rows/batch={batch_id}"
-        batch.withColumn("_late", is_late).write.mode("overwrite").partitionBy("_late").parquet(own)
-        # the source was read once; the mark comes from the folder just written
-        self.spark.read.schema(self.schema).parquet(own).agg(
-            F.unix_micros(F.max(self.time)).alias("high")
-        ).write.mode("overwrite").parquet(f"{self.path}/marks/batch={batch_id}")
+        seen = Observation()
+        rows = batch.observe(seen, F.max(F.unix_micros(self.time)).alias("high"))
+        rows.withColumn("_late", is_late).write.mode("overwrite").partitionBy("_late").parquet(own)
+        known = [mark for mark in (high, seen.get["high"]) if mark is not None]
+        mark = self.spark.createDataFrame([(max(known, default=None),)], "high bigint")
+        mark.coalesce(1).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
+        for old in earlier[:-1]:
+            drop_path(self.spark, f"{marks}/batch={old}")
 
     def _rows(self, late: bool) -> DataFrame:
         ddl = ", ".join(

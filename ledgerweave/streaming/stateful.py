@@ -1,6 +1,7 @@
 """Totals per key that live across micro-batches, with custom state.
 
-Amounts are whole numbers of the smallest unit (``base_units``), so that the state is exact.
+Amounts are whole numbers of the smallest unit (``base_units``) with up to 38 digits, so that
+the state is exact; a total with more digits is an error. Null amounts add nothing.
 Both forms add rows up per Arrow batch before the shuffle: a key that holds a third of all
 rows reaches its task as one row per batch instead of one per event.
 """
@@ -8,6 +9,7 @@ rows reaches its task as one row per batch instead of one per event.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Context, Decimal
 
 import pandas as pd
 import pyarrow as pa
@@ -18,22 +20,36 @@ from pyspark.sql.streaming.state import GroupState
 
 from ledgerweave.functions.udfs import combine_batches
 
-_STATE = "n_rows bigint, total bigint"
+_STATE = "n_rows bigint, total decimal(38,0)"
+_MOST = Decimal(10) ** 38
+# the usual 28 digits would round sums
+_EXACT = Context(prec=60)
 
 
 def _partials(stream: DataFrame, key: str, units: str) -> DataFrame:
     kind = stream.schema[key].dataType.simpleString()
-    narrow = stream.select(key, F.col(units).cast("bigint").alias("total"))
+    narrow = stream.select(key, F.coalesce(F.col(units).cast("decimal(38,0)"), F.lit(0)).cast("decimal(38,0)").alias("total"))
 
     def add_up(table: pa.Table) -> pa.Table:
         summed = table.group_by(key).aggregate([([], "count_all"), ("total", "sum")])
-        return summed.select([key, "count_all", "total_sum"]).rename_columns(
+        summed = summed.select([key, "count_all", "total_sum"]).rename_columns(
             [key, "n_rows", "total"]
         )
+        return summed.set_column(2, "total", summed.column("total").cast(pa.decimal128(38, 0)))
 
     return combine_batches(narrow, add_up, f"`{key}` {kind}, {_STATE}")
 
 
+def _added(n: int, total: Decimal, batches) -> tuple[int, Decimal]:
+    for batch in batches:
+        n += int(batch["n_rows"].sum())
+        for value in batch["total"]:
+            total = _EXACT.add(total, value)
+    if abs(total) >= _MOST:
+        raise OverflowError("a total has more than 38 digits")
+    return n, total
+
+
 def _output(stream: DataFrame, key: str) -> str:
     return f"`{key}` {stream.schema[key].dataType.simpleString()}, {_STATE}"
 
@@ -48,10 +64,7 @@ def running_totals(stream: DataFrame, key: str, units: str) -> DataFrame:
     def update(
         keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0)
-        for batch in batches:
-            n += int(batch["n_rows"].sum())
-            total += int(batch["total"].sum())
+        n, total = _added(*(state.get if state.exists else (0, Decimal(0))), batches)
         state.update((n, total))
         yield pd.DataFrame({key: [keys[0]], "n_rows": [n], "total": [total]})
 
@@ -72,10 +85,7 @@ class TotalsProcessor(StatefulProcessor):
         self.state = handle.getValueState("totals", _STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, total = self.state.get() if self.state.exists() else (0, 0)
-        for batch in rows:
-            n += int(batch["n_rows"].sum())
-            total += int(batch["total"].sum())
+        n, total = _added(*(self.state.get() if self.state.exists() else (0, Decimal(0))), rows)
         self.state.update((n, total))
         yield pd.DataFrame({self.key: [key[0]], "n_rows": [n], "total": [total]})
 

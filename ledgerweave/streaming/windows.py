@@ -17,13 +17,15 @@ from ledgerweave.functions.columns import to_units
 from ledgerweave.functions.udfs import combine_batches
 
 
-def _counted(stream: DataFrame, window: Column, keys: Sequence[str], value: str) -> DataFrame:
+def _counted(
+    stream: DataFrame, window: Column, keys: Sequence[str], value: str, scale: int
+) -> DataFrame:
     # counts and exact sums combine on the map side, so one busy key is no burden
     return (
         stream.groupBy(window.alias("_window"), *keys)
         .agg(
             F.count(F.lit(1)).alias("n_events"),
-            F.sum(to_units(value)).alias("total_value"),
+            F.sum(to_units(value, scale)).alias("total_value"),
         )
         .select(
             F.col("_window.start").alias("window_start"),
@@ -36,9 +38,10 @@ def _counted(stream: DataFrame, window: Column, keys: Sequence[str], value: str)
 
 
 def tumbling_counts(
-    stream: DataFrame, time: str, delay: str, width: str, keys: Sequence[str], value: str
-) -> DataFrame:
-    return _counted(stream.withWatermark(time, delay), F.window(time, width), keys, value)
+    stream: DataFrame, time: str, delay: str, width: str, keys: Sequence[str], value: str,
+    scale: int,
+) -> DataFrame:
+    return _counted(stream.withWatermark(time, delay), F.window(time, width), keys, value, scale)
 
 
 def sliding_counts(
@@ -49,27 +52,33 @@ def sliding_counts(
     step: str,
     keys: Sequence[str],
     value: str,
+    scale: int,
 ) -> DataFrame:
-    return _counted(stream.withWatermark(time, delay), F.window(time, width, step), keys, value)
+    window = F.window(time, width, step)
+    return _counted(stream.withWatermark(time, delay), window, keys, value, scale)
 
 
 def sessions(
-    stream: DataFrame, time: str, delay: str, gap: str, keys: Sequence[str], value: str
-) -> DataFrame:
+    stream: DataFrame, time: str, delay: str, gap: str, keys: Sequence[str], value: str,
+    scale: int,
+) -> DataFrame:
     """Activity sessions per key.
 
     Rows of a session are merged within each map task before the shuffle if the session has
     ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` set, which
     ``tuned_session`` does.
     """
-    return _counted(stream.withWatermark(time, delay), F.session_window(time, gap), keys, value)
+    window = F.session_window(time, gap)
+    return _counted(stream.withWatermark(time, delay), window, keys, value, scale)
 
 
 def dedupe_stream(stream: DataFrame, time: str, delay: str, keys: Sequence[str]) -> DataFrame:
     """The first row per key among repeats that are no more than the delay apart.
 
-    Repeats that lie in the same Arrow batch go before the shuffle, so a key with very many
-    copies reaches its task as about one row per batch.
+    Repeats with the same event time that lie in the same Arrow batch go before the shuffle,
+    so a key with very many copies reaches its task as about one row per batch and time. Such
+    copies are late all together or not at all; copies with different times must not be
+    dropped there, as a late one could take the place of a timely one.
     """
     keys = list(keys)
     columns = stream.columns
@@ -77,8 +86,9 @@ def dedupe_stream(stream: DataFrame, time: str, delay: str, keys: Sequence[str])
 
     def first_of_each(table: pa.Table) -> pa.Table:
         position = pa.array(range(table.num_rows), type=pa.int64())
-        numbered = table.select(keys).append_column("_position", position)
-        first = numbered.group_by(keys).aggregate([("_position", "min")])
+        same = [*keys, time] if time not in keys else keys
+        numbered = table.select(same).append_column("_position", position)
+        first = numbered.group_by(same).aggregate([("_position", "min")])
         return table.take(first.column("_position_min").combine_chunks().sort())
 
     local = combine_batches(stream, first_of_each, schema)
@@ -94,16 +104,22 @@ def match_stream(
     left_id: str,
     delay: str,
     horizon: str,
+    busy: Sequence = (),
     salts: int = 8,
 ) -> DataFrame:
     """Pairs of one key where the right row comes within the horizon after the left one.
 
-    The two sides must share only the column ``key``. Left rows of a key are spread over
-    ``salts`` join keys by their id and each right row is offered to all of them, so that a
-    busy key's state and work are shared by several tasks. Give the smaller side as right.
+    The two sides must share only the column ``key``. ``busy`` names keys with very many rows:
+    their left rows are spread over ``salts`` join keys by their id, and each of their right
+    rows is offered to all of these, so that their state and work are shared by several tasks.
+    Rows of other keys are held once. Give the smaller side as right. The list must stay the
+    same as long as the stream has state.
     """
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(left_id), F.lit(salts)).cast("int"))
-    offered = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    is_busy = F.coalesce(F.col(key).isin(list(busy)), F.lit(False))
+    salt = F.pmod(F.xxhash64(left_id), F.lit(salts)).cast("int")
+    spread = left.withColumn("_salt", F.when(is_busy, salt).otherwise(0))
+    last = F.when(is_busy, F.lit(salts - 1)).otherwise(0)
+    offered = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
     offered = offered.withColumnRenamed(key, "_right_key").withColumnRenamed("_salt", "_right_salt")
     within = (
         (F.col(key) == F.col("_right_key"))

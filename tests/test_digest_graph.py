@@ -27,7 +27,7 @@ def expected_root(texts):
 def test_tree_digest(spark, n, levels):
     df = spark.range(n).repartition(3)
     found = digest.tree_digest(df, ["id"], digest.row_text(["id"]), levels, 10)
-    assert rows(found) == [(n, expected_root([str(i) for i in range(n)]))]
+    assert rows(found) == [(n, expected_root([f"{len(str(i))}:{i}" for i in range(n)]))]
 
 
 def test_tree_digest_ignores_partitioning(spark):
@@ -37,7 +37,8 @@ def test_tree_digest_ignores_partitioning(spark):
         rows(digest.tree_digest(df.repartition(n, F.rand(1)), ["id"], text, 3, size))[0]
         for n, size in [(1, 10), (7, 10), (4, 1_000_000)]
     }
-    texts = [f"{i}|{'' if i % 7 == 0 else i * 3}" for i in range(500)]
+    sized = lambda v: f"{len(str(v))}:{v}"
+    texts = [sized(i) + ("~" if i % 7 == 0 else sized(i * 3)) for i in range(500)]
     assert roots == {(500, expected_root(texts))}
 
 
@@ -98,12 +99,16 @@ def distances(edges, start, hops):
 
 
 @pytest.mark.parametrize("hops", [0, 1, 2, 9])
-def test_reachable(spark, hops, monkeypatch):
+def test_reachable(spark, hops):
     pick = random.Random(8)
     edges = [(pick.randrange(80), pick.randrange(80)) for _ in range(130)]
     df = spark.createDataFrame(edges, "src bigint, dst bigint")
     start = spark.createDataFrame([(edges[0][0],)], "node bigint")
     expected = distances(edges, edges[0][0], hops)
     assert rows(graph.reachable(df, start, hops)) == expected
-    monkeypatch.setattr(graph, "BROADCAST_ROWS", 0)
-    assert rows(graph.reachable(df, start, hops)) == expected
+
+
+def test_reachable_without_broadcast(spark, no_broadcast):
+    df = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5)], "src bigint, dst bigint")
+    start = spark.createDataFrame([(1,)], "node bigint")
+    assert rows(graph.reachable(df, start, 9)) == [(1, 0), (2, 1), (3, 2)]

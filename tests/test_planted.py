@@ -1,6 +1,7 @@
 """Hand-made inputs for what the given tables cannot show."""
 
 import datetime as dt
+import math
 from decimal import Decimal
 
 import pytest
@@ -52,7 +53,8 @@ def test_flatten_empty_and_null(spark):
 
 def test_conservation(spark):
     tx = spark.createDataFrame(
-        [(1, Decimal("10.5")), (2, Decimal("10")), (3, Decimal("10")), (4, Decimal("1")), (5, Decimal("0"))],
+        [(1, Decimal("10.5")), (2, Decimal("10")), (3, Decimal("10")), (4, Decimal("1")),
+         (5, Decimal("0")), (6, None)],
         "id bigint, total decimal(38,9)",
     )
     msg = spark.createDataFrame(
@@ -60,7 +62,9 @@ def test_conservation(spark):
         "tx_id bigint, value decimal(38,9)",
     )
     found = aggregates.conservation_breaks(tx, msg, "id", "total", "tx_id", "value", scale=9)
-    assert rows(found.select("id", "kind")) == [(2, "short"), (3, "over"), (4, "no messages")]
+    assert rows(found.select("id", "kind")) == [
+        (2, "short"), (3, "over"), (4, "no messages"), (6, "no total"),
+    ]
 
 
 def test_gaps(spark):
@@ -202,6 +206,8 @@ def test_weighted_mean(spark):
     )
     found = udfs.weighted_mean(df, ["k"], "x", "w")
     assert {row["k"]: row["weighted_mean"] for row in found.collect()} == {"a": 2.0, "b": None}
+    wrong = spark.createDataFrame([("a", float("nan"), 1.0), ("a", 2.0, 1.0)], "k string, x double, w double")
+    assert math.isnan(udfs.weighted_mean(wrong, ["k"], "x", "w").first()["weighted_mean"])
 
 
 def test_sketches_merge(spark):

@@ -1,6 +1,8 @@
 """Streams: batches in order, repeats across batches, late rows, restarts."""
 
 import datetime as dt
+import random
+from decimal import Decimal
 
 from conftest import MEDIUM, rows
 from pyspark.sql import functions as F
@@ -48,6 +50,34 @@ def test_dedupe_across_batches(spark, folder):
     assert sorted(row["event_id"] for row in found.collect()) == [1, 1, 2, 3, 4]
 
 
+def test_a_late_copy_does_not_displace_a_timely_one(spark, folder):
+    landing = Landing(spark, folder)
+
+    def deliver(batch):
+        return landing.run(windows.dedupe_stream(landing.add(batch), "ts", "1 hour", ["event_id"]))
+
+    deliver([event(1, 600)])
+    deliver([event(2, 0), event(2, 610)])
+    found = deliver([event(3, 620)])
+    assert sorted(row["event_id"] for row in found.collect()) == [1, 2, 3]
+
+
+def test_dedupe_equals_builtin_with_late_copies(spark, folder):
+    pick = random.Random(5)
+    batches = [
+        [event(pick.randrange(40), pick.randrange(200) + 120 * n) for _ in range(60)]
+        for n in range(4)
+    ]
+    own, built_in = Landing(spark, f"{folder}/a"), Landing(spark, f"{folder}/b")
+    for batch in batches:
+        one = spark.createDataFrame(batch, EVENTS).coalesce(1)
+        mine = own.run(windows.dedupe_stream(own.add(one), "ts", "1 hour", ["event_id"]))
+        stream = built_in.add(one).withWatermark("ts", "1 hour")
+        theirs = built_in.run(stream.dropDuplicatesWithinWatermark(["event_id"]))
+    count = [("event_id", "n")]  # which of two copies comes first is open, how many is not
+    assert rows(mine.groupBy(count[0][0]).count()) == rows(theirs.groupBy(count[0][0]).count())
+
+
 def test_dedupe_of_one_id_with_most_rows(spark, folder):
     landing = Landing(spark, folder)
     copies = spark.range(50_000).select(
@@ -63,7 +93,7 @@ def test_tumbling_same_for_one_and_four_batches(spark, folder):
     landing = Landing(spark, folder)
 
     def counted(stream):
-        return windows.tumbling_counts(stream, "ts", "10 minutes", "1 hour", ["event_type"], "value")
+        return windows.tumbling_counts(stream, "ts", "10 minutes", "1 hour", ["event_type"], "value", 2)
 
     for day in (0, 8, 15, 22):
         last = {0: 8, 8: 15, 15: 22, 22: 99}[day]
@@ -106,7 +136,7 @@ def test_match_keeps_state_between_batches(spark, folder):
             "user_id", F.col("event_id").alias("b"), F.col("ts").alias("bt")
         )
         return landing.run(
-            windows.match_stream(left, right, "user_id", "at", "bt", "a", "10 minutes", "1 hour", 3)
+            windows.match_stream(left, right, "user_id", "at", "bt", "a", "10 minutes", "1 hour", [1], 3)
         )
 
     deliver([event(1, 0), event(2, 5, user=2), event(3, 6)])
@@ -141,6 +171,40 @@ def test_running_totals_v2(spark, folder):
     totals(spark, folder, stateful.running_totals_v2)
 
 
+def test_totals_beyond_64_bits(spark, folder):
+    for n, operator in enumerate((stateful.running_totals, stateful.running_totals_v2)):
+        landing = Landing(spark, f"{folder}/{n}")
+        units = F.when(F.col("value") > 0, F.lit(Decimal(6 * 10**18))).cast("decimal(38,0)")
+
+        def deliver(batch, operator=operator, landing=landing, units=units):
+            stream = landing.add(batch).withColumn("units", units)
+            return landing.run(operator(stream, "user_id", "units"))
+
+        deliver([event(1, 0), event(2, 1)])
+        found = deliver([event(3, 2), event(4, 3, value=-1.0)])
+        assert rows(found) == [(1, 2, Decimal(12 * 10**18)), (1, 4, Decimal(18 * 10**18))]
+
+
+def test_state_reads_do_not_grow_with_batches(spark, folder):
+    schema = spark.createDataFrame([], "id bigint, t bigint, v string").schema
+    state = sources.LatestState(spark, f"{folder}/state", schema, "id", ["t"], buckets=3)
+    for n in range(6):
+        state.merge(spark.createDataFrame([(i, n, f"{n}") for i in range(30)], schema), n)
+        assert len(state.read().inputFiles()) == 3
+    assert state.drop_replaced() == 12
+    assert state.drop_replaced() == 0
+    assert state._commits() == [4, 5]
+    assert state.read().filter("t = 5").count() == 30
+
+
+def test_late_report_keeps_two_marks(spark, folder):
+    landing = Landing(spark, folder)
+    for n in range(5):
+        stream = landing.add([event(n, 100 * n)])
+        late.late_report(stream, "ts", "10 minutes", f"{folder}/report", f"{folder}/state")
+    assert sources.finished_batches(spark, f"{folder}/report/marks") == [3, 4]
+
+
 def test_upsert_repeats_a_batch_without_harm(spark, folder):
     schema = spark.createDataFrame([], "id bigint, t bigint, v string").schema
     state = sources.LatestState(spark, f"{folder}/state", schema, "id", ["t"], buckets=4)
