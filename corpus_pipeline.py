@@ -15,8 +15,8 @@ from ledgerweave.llm.queries import domains, fold, table
 from ledgerweave.session import apply_runtime_defaults, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-# Junk is gone by then; a share of nothing would only repeat what looks a little like it.
-TARGETS = {"clean": 0.97, "toxic": 0.03}
+# Multiples of the shares there are. Junk is gone by then, so it is no domain here.
+TARGETS = {"clean": 1.0, "toxic": 0.8}
 TOTAL_FACTOR = 1.1  # so that clean text need not be thinned out to reach its share
 
 
@@ -66,7 +66,7 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rate says, so that domains have their target shares."""
     labelled = domains(table(spark, sf_dir, "labels")).filter(F.col("domain").isin(*TARGETS))
-    mixed = mixing.mix(docs, labelled, TARGETS, total_factor=TOTAL_FACTOR)
+    mixed = mixing.mix(docs, labelled, TARGETS, total_factor=TOTAL_FACTOR, relative=True)
     copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
     return mixed.filter("copies > 0").withColumn("copy", copies).select(*COLUMNS)
 

@@ -88,11 +88,14 @@ def _rate(steps: list[np.ndarray]) -> Column:
     return F.aggregate(F.array(*[_numbers(s) for s in steps]), F.lit(1.0), after)
 
 
-def fit_rates(documents: DataFrame, weights: list[float], total: float | None = None):
+def fit_rates(
+    documents: DataFrame, weights: list[float], total: float | None = None, relative: bool = False
+):
     """The steps whose ``_rate`` gives the wanted tokens, and the tokens wanted and reached.
 
     ``documents`` has ``n_tokens`` and ``posterior``; it should be a written table. ``total``
-    defaults to the tokens there are. Targets that no rates reach (a domain of which there is
+    defaults to the tokens there are; ``relative`` weights multiply the expected shares that
+    the domains have now. Targets that no rates reach (a domain of which there is
     nothing) are met as nearly as least squares can.
     """
     k = len(weights)
@@ -105,9 +108,9 @@ def fit_rates(documents: DataFrame, weights: list[float], total: float | None =
     first = documents.agg(F.sum(tokens).alias("all"), *pair).first()
     all_tokens = first["all"] or 0.0
     gram = np.array([first[f"g{i}_{j}"] or 0.0 for i in range(k) for j in range(k)]).reshape(k, k)
-    share = np.array(weights, dtype=float) / sum(weights)
-    wanted = share * (all_tokens if total is None else total)
     reached = gram.sum(axis=1)  # at rate 1, as probabilities add up to 1
+    share = np.array(weights, dtype=float) * (reached if relative else 1.0)
+    wanted = share / max(share.sum(), 1e-300) * (all_tokens if total is None else total)
     inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
     steps: list[np.ndarray] = []
     while len(steps) < STEPS and all_tokens:
@@ -131,12 +134,13 @@ def mix(
     text: str = "text",
     domain: str = "domain",
     total_factor: float = 1.0,
+    relative: bool = False,
     max_rows: int = quality.MAX_ROWS,
 ) -> DataFrame:
     """``docs`` with ``n_tokens``, ``posterior`` (in the order of ``targets``), ``rate``, ``copies``.
 
     ``labelled`` has ``id_column`` and ``domain``. ``total_factor`` times the tokens there are
-    is the wanted total. ``copies`` is the rate rounded up or down by a hash of the text, so
+    is the wanted total; with ``relative``, targets multiply the shares there are. ``copies`` is the rate rounded up or down by a hash of the text, so
     that its mean over many texts is the rate.
 
     Null and empty texts have no tokens; their probabilities are those of the biases alone,
@@ -151,7 +155,7 @@ def mix(
     # only what the fit needs is written; the texts are scored again for the result
     known, _ = written(posteriors(inner, weights).select("n_tokens", "posterior"), "posteriors")
     tokens = known.agg(F.sum("n_tokens")).first()[0] or 0
-    steps, _, _ = fit_rates(known, list(targets.values()), total_factor * tokens)
+    steps, _, _ = fit_rates(known, list(targets.values()), total_factor * tokens, relative)
     place = F.pmod(F.xxhash64(F.lit("mix"), F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.lit(2**40))
     return (
         posteriors(bare, weights, text)

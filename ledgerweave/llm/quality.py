@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from ledgerweave.llm.text import LOWER, Words, chunks, mix, rolling, texts_of, whole_runs
 
-BITS = 17
-TRAINERS = 6
+BITS = 18
+TRAINERS = 3
 EPOCHS = 3
 MAX_ROWS = 24_000
 MINI_BATCH = 8
@@ -127,10 +127,11 @@ def _train(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known = []
     for begin, end in chunks(texts, 1_000_000):
         doc, slot, value = features(texts[begin:end])
-        order = np.argsort(doc, kind="stable")
-        known.append((doc[order] + begin, slot[order].astype(np.int32), value))
-    doc, slot, value = (np.concatenate(part) for part in zip(*known, strict=True))
-    first = np.searchsorted(doc, np.arange(len(texts) + 1))
+        slot = slot.astype(np.int32)[np.argsort(doc, kind="stable")]
+        known.append((slot, value, np.bincount(doc, minlength=end - begin)))
+    slot, value, count = (np.concatenate(part) for part in zip(*known, strict=True))
+    del known
+    first = np.append(0, np.cumsum(count))
     model = FollowTheLeader()
     for epoch in range(EPOCHS):
         # another order in each pass, the same in each run
