@@ -4,8 +4,9 @@ A classifier learned from a labelled table gives each document a probability p o
 Rates r >= 0, one for each document, are fitted so that the expected tokens of the domains,
 ``sum(r * tokens * p)``, are the wanted ones. Many rates do that; the fit starts from rate 1
 and minimises weighted least squares by projected gradients, which stays near 1: with G the
-sum of ``tokens * p p'`` over all documents, the loss is ``e' inv(G) e / 2`` of the residual
-e, and a step changes a rate by ``-p' inv(G) e`` and cuts it at 0.
+sum of ``tokens * p p'`` over the documents whose rates are over 0, the loss is
+``e' inv(G) e / 2`` of the residual e, and a step changes a rate by ``-p' inv(G) e`` and cuts
+it at 0.
 
 A document's rate follows from its p and the steps so far, a few numbers for each step. So a
 step is one aggregation over the written table of tokens and probabilities; nothing but a
@@ -100,29 +101,29 @@ def fit_rates(
     """
     k = len(weights)
     tokens = F.col("n_tokens").cast("double")
-    pair = [
-        F.sum(tokens * F.col("posterior")[i] * F.col("posterior")[j]).alias(f"g{i}_{j}")
-        for i in range(k)
-        for j in range(k)
-    ]
-    first = documents.agg(F.sum(tokens).alias("all"), *pair).first()
-    all_tokens = first["all"] or 0.0
-    gram = np.array([first[f"g{i}_{j}"] or 0.0 for i in range(k) for j in range(k)]).reshape(k, k)
-    reached = gram.sum(axis=1)  # at rate 1, as probabilities add up to 1
+
+    def sums(steps: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+        """Tokens there are; tokens of each domain at these steps; G of the rates over 0."""
+        p = [F.col("posterior")[i] for i in range(k)]
+        moving = F.when(F.col("rate") > 0, tokens)
+        row = documents.withColumn("rate", _rate(steps)).agg(
+            F.sum(tokens),
+            *[F.sum(F.col("rate") * tokens * p[i]) for i in range(k)],
+            *[F.sum(moving * p[i] * p[j]) for i in range(k) for j in range(k)],
+        )
+        values = np.array([v or 0.0 for v in row.first()])
+        return values[0], values[1 : k + 1], values[k + 1 :].reshape(k, k)
+
+    steps: list[np.ndarray] = []
+    all_tokens, reached, gram = sums(steps)
     share = np.array(weights, dtype=float) * (reached if relative else 1.0)
     wanted = share / max(share.sum(), 1e-300) * (all_tokens if total is None else total)
-    inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
-    steps: list[np.ndarray] = []
     while len(steps) < STEPS and all_tokens:
         residual = reached - wanted
         if np.abs(residual).max() <= TOLERANCE * wanted.sum():
             break
-        steps.append(inverse @ residual)
-        rate = documents.withColumn("rate", _rate(steps))
-        sums = rate.agg(
-            *[F.sum(F.col("rate") * tokens * F.col("posterior")[i]) for i in range(k)]
-        ).first()
-        reached = np.array([s or 0.0 for s in sums])
+        steps.append(np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ residual)
+        _, reached, gram = sums(steps)
     return steps, wanted, reached
 
 
@@ -140,8 +141,9 @@ def mix(
     """``docs`` with ``n_tokens``, ``posterior`` (in the order of ``targets``), ``rate``, ``copies``.
 
     ``labelled`` has ``id_column`` and ``domain``. ``total_factor`` times the tokens there are
-    is the wanted total; with ``relative``, targets multiply the shares there are. ``copies`` is the rate rounded up or down by a hash of the text, so
-    that its mean over many texts is the rate.
+    is the wanted total; with ``relative``, targets multiply the shares there are. ``copies``
+    is the rate rounded up or down by a hash of the text, so that its mean over many texts is
+    the rate.
 
     Null and empty texts have no tokens; their probabilities are those of the biases alone,
     and they do not count in the fit but get a rate. Equal texts get equal rates and copies.
