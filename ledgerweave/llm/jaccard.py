@@ -19,8 +19,9 @@ most H elements, H in proportion to |r| + |s|. The universe is cut into m segmen
 
 Sets that share a signature are compared exactly. Equal sets count once. Comparing follows the
 components and not all pairs: each set is first compared with the best connected set among
-those it meets, sets that are then in one component need no further comparison, and what is
-left in different components is compared pair by pair.
+those it meets, and sets that are then in one component need no further comparison. Sets that
+still meet sets of other components are compared in cells of bounded size, by an index of their
+elements; what leaves a cell are links between components, not pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -43,8 +45,8 @@ from ledgerweave.session import scratch_path, shuffle_width, written
 WIDTH = 5
 PERCENT = 80
 TINY = 12
-HUB_ROUNDS = 3
 SALT_ROWS = 5_000
+BLOCK_SETS = 3_000
 SHARD_BYTES = 32_000_000
 
 _U = np.uint64
@@ -338,6 +340,75 @@ def _fits(percent: int, a: str, b: str):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _cell_links(cell: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between sets of different labels in one cell, one for each set and other label.
+
+    Common elements are counted by an index from element to sets, so the cost is that of the
+    elements that sets have in common, and sets without any cost nothing.
+    """
+    tokens = [_elements(t) for t in cell["tokens"]]
+    sizes = np.array([len(t) for t in tokens])
+    numbers = cell["s"].to_numpy()
+    labels, label = np.unique(cell["label"].to_numpy(), return_inverse=True)
+    left = cell["block"].to_numpy() == cell["i"].to_numpy()
+    right = cell["block"].to_numpy() == cell["j"].to_numpy()
+    indexed = np.flatnonzero(right)
+    flat = np.concatenate([tokens[y] for y in indexed])
+    owner = np.repeat(indexed, sizes[indexed])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    found: list[tuple[int, int]] = []
+    for x in np.flatnonzero(left):
+        begins = np.searchsorted(flat, tokens[x])
+        count = np.searchsorted(flat, tokens[x], side="right") - begins
+        at = np.repeat(begins - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        common = np.bincount(owner[at], minlength=len(cell))
+        near = 100 * common >= percent * (sizes[x] + sizes - common)
+        near &= (label != label[x]) & (common > 0)
+        near = np.flatnonzero(near)
+        _, first = np.unique(label[near], return_index=True)
+        found.extend((numbers[x], numbers[y]) for y in near[first])
+    return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
+
+
+def _families(places: DataFrame) -> DataFrame:
+    """``s, label, family``: sets that meet others outside their component, with all that they
+    are joined to by such meetings."""
+    mixed = (
+        places.groupBy("signature")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("s").alias("least"))
+        .filter("low <> high")
+        .select("signature", "least")
+    )
+    opened, _ = written(places.join(mixed, "signature").select("s", "label", "least"), "open")
+    edges = opened.select(F.col("s").alias("src"), F.col("least").alias("dst"))
+    families = components(edges).withColumnsRenamed({"node": "s", "component": "family"})
+    return opened.select("s", "label").distinct().join(families, "s")
+
+
+def _cells(families: DataFrame) -> DataFrame:
+    """Each set in the cells of its family's grid: ``cell, i, j, block, s, label``.
+
+    A family is dealt into blocks of about BLOCK_SETS sets, and a cell holds two blocks; small
+    families share cells. Comparing more than has to be does no harm.
+    """
+    families, _ = written(families, "families")
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    sized = families.join(sizes, "family")
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK_SETS)).cast("int")
+    shared = F.ceil(F.lit(families.count() / BLOCK_SETS)).cast("int")
+    place = F.when(blocks > 1, F.col("family")).otherwise(F.pmod(F.xxhash64("family"), shared))
+    dealt = sized.select(
+        "s", "label", place.alias("place"), blocks.alias("blocks"),
+        F.pmod(F.xxhash64("s"), blocks).cast("int").alias("block"),
+    )
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    return dealt.select("*", other).select(
+        "s", "label", "place", "blocks", "block",
+        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+    )
+
+
 def _set_links(docs: DataFrame, width: int, percent: int, seed: int, n_bytes: int) -> DataFrame:
     """Links (src, dst) between different sets that join the same sets as all links do."""
     spark = docs.sparkSession
@@ -363,62 +434,30 @@ def _set_links(docs: DataFrame, width: int, percent: int, seed: int, n_bytes: in
         shared.groupBy("s").agg(F.sum("sets").alias("weight"), F.first("n").alias("n")), "weights"
     )
     comparer = _Comparer(docs, weights.select("s"), width, percent, seed)
-    members = shared.select("s", "signature").join(weights, "s")
-    label = weights.select("s", F.col("s").alias("label"))
-    compared, links = None, None
-    for turn in range(HUB_ROUNDS + 1):
-        places, _ = written(members.join(label, "s"), "places")
-        open_ = places.groupBy("signature").agg(
-            F.min("label").alias("low"),
-            F.max("label").alias("high"),
-            F.max(F.struct("weight", "n", "s", "label")).alias("hub"),
-        ).filter("low <> high")
-        open_, _ = written(open_, "open")
-        if open_.isEmpty():
-            break
-        if turn < HUB_ROUNDS:
-            pairs = (
-                places.join(open_, "signature")
-                .filter(F.col("label") != F.col("hub.label"))
-                .filter(_fits(percent, "n", "hub.n"))
-                .groupBy(F.col("s").alias("a"), F.col("hub.s").alias("b"))
-                .agg(F.count(F.lit(1)).alias("shared"), F.max("hub.weight").alias("weight"))
-            )
-            if turn == 0:
-                pairs = pairs.groupBy("a").agg(
-                    F.max_by("b", F.struct("shared", "weight", "b")).alias("b")
-                )
-        else:
-            one, two = (
-                places.join(open_, "signature", "left_semi").select(
-                    "signature",
-                    *[F.col(c).alias(f"{side}_{c}") for c in ("s", "n", "label")],
-                )
-                for side in ("a", "b")
-            )
-            pairs = (
-                one.join(two, "signature")
-                .filter("a_label < b_label")
-                .filter(_fits(percent, "a_n", "b_n"))
-                .select(F.col("a_s").alias("a"), F.col("b_s").alias("b"))
-                .distinct()
-            )
-        pairs = pairs.select("a", "b")
-        if compared is not None:
-            backwards = compared.select(F.col("b").alias("a"), F.col("a").alias("b"))
-            pairs = pairs.join(compared.unionByName(backwards), ["a", "b"], "left_anti")
-        pairs, _ = written(pairs, "pairs")
-        found = comparer.links(pairs).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if turn < HUB_ROUNDS:
-            joined = components(links).select(
-                F.col("node").alias("s"), F.col("component").alias("lowest")
-            )
-            label = weights.select("s").join(joined, "s", "left").select(
-                "s", F.coalesce("lowest", "s").alias("label")
-            )
-    return spark.createDataFrame([], "src long, dst long") if links is None else links
+    members, _ = written(shared.select("s", "signature").join(weights, "s"), "members")
+    # first each set with the best connected set that it meets most often
+    hubs = members.groupBy("signature").agg(F.max(F.struct("weight", "n", "s")).alias("hub"))
+    best = (
+        members.join(hubs, "signature")
+        .filter(F.col("s") != F.col("hub.s"))
+        .filter(_fits(percent, "n", "hub.n"))
+        .groupBy(F.col("s").alias("a"), F.col("hub.s").alias("b"))
+        .agg(F.count(F.lit(1)).alias("shared"), F.max("hub.weight").alias("weight"))
+        .groupBy("a")
+        .agg(F.max_by("b", F.struct("shared", "weight", "b")).alias("b"))
+    )
+    links = comparer.links(best).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    # then what still meets sets of other components, in cells
+    joined = components(links).withColumnsRenamed({"node": "s", "component": "label"})
+    places = members.select("s", "signature").join(joined, "s", "left")
+    families = _families(places.withColumn("label", F.coalesce("label", "s")))
+    rest = (
+        _cells(families)
+        .join(comparer.tokens, "s")
+        .groupBy("place", "blocks", "i", "j")
+        .applyInPandas(partial(_cell_links, percent=percent), "src long, dst long")
+    )
+    return links.unionByName(written(rest, "links")[0])
 
 
 def near_duplicates(
