@@ -451,11 +451,15 @@ def _set_links(docs: DataFrame, width: int, percent: int, seed: int, n_bytes: in
     joined = components(links).withColumnsRenamed({"node": "s", "component": "label"})
     places = members.select("s", "signature").join(joined, "s", "left")
     families = _families(places.withColumn("label", F.coalesce("label", "s")))
+
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        return _cell_links(cell, percent)
+
     rest = (
         _cells(families)
         .join(comparer.tokens, "s")
         .groupBy("place", "blocks", "i", "j")
-        .applyInPandas(partial(_cell_links, percent=percent), "src long, dst long")
+        .applyInPandas(compare, "src long, dst long")
     )
     return links.unionByName(written(rest, "links")[0])
 
