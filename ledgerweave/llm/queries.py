@@ -88,6 +88,32 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _for_documents(docs, found, "passage-digests")
 
 
+OP5_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(words[i : i + {anchors.WINDOW - 1}], ' ')) AS h
+  FROM (SELECT *, unnest(range(1, len(words) - {anchors.WINDOW - 2})) AS i FROM w)
+),
+again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT doc_id, i FROM windows SEMI JOIN again USING (h)),
+places AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w
+),
+marked AS (
+  SELECT places.*, coalesce(p - hits.i < {anchors.WINDOW}, false) AS gone
+  FROM places ASOF LEFT JOIN hits ON places.doc_id = hits.doc_id AND places.p >= hits.i
+)
+SELECT w.doc_id, count(word) AS n_words,
+       CAST(coalesce(sum(CASE WHEN gone THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM w LEFT JOIN marked ON marked.doc_id = w.doc_id
+GROUP BY w.doc_id
+"""
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without lines that stand on many sources, but for their first place."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -210,6 +236,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_substring_dedup": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
     "op7_nearest_vectors": OP7_SQL,
     "op8_jaccard_join": OP8_SQL,
