@@ -76,7 +76,7 @@ def tree_digest(
     n = leaves.count()
     if n == 0:
         raise ValueError("a tree needs at least one row")
-    nodes = global_index(leaves, order, "index", min_slice_rows).select("index", "node")
+    nodes = global_index(leaves, order, "index", min_slice_rows, n).select("index", "node")
     width = 1 << levels
     left = n
     while left > width:

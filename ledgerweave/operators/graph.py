@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerweave.session import drop_path, written, written_by
@@ -41,13 +41,17 @@ def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return found
 
 
-def _fingerprint(pairs: DataFrame) -> tuple:
-    row = pairs.agg(
-        F.count(F.lit(1)),
-        F.expr("bit_xor(xxhash64(src, dst))"),
-        F.sum(F.xxhash64("dst", "src").cast("decimal(38,0)")),
-    ).first()
-    return tuple(row)
+def _written_pairs(pairs: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """The pairs as a written table, its path, and a fingerprint taken while writing."""
+    seen = Observation()
+    marked = pairs.observe(
+        seen,
+        F.count(F.lit(1)).alias("rows"),
+        F.expr("bit_xor(xxhash64(src, dst))").alias("bits"),
+        F.sum(F.xxhash64("dst", "src").cast("decimal(38,0)")).alias("total"),
+    )
+    table, path = written(marked, "stars")
+    return table, path, tuple(seen.get[name] for name in ("rows", "bits", "total"))
 
 
 def _lowest(pairs: DataFrame) -> DataFrame:
@@ -93,13 +97,11 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         )
         .distinct()
     )
-    current, path = written(pairs, "stars")
-    seen = _fingerprint(current)
+    current, path, seen = _written_pairs(pairs)
     while True:
-        following, next_path = written(_small_star(_large_star(current)), "stars")
+        following, next_path, mark = _written_pairs(_small_star(_large_star(current)))
         drop_path(spark, path)
         current, path = following, next_path
-        mark = _fingerprint(current)
         if mark == seen:
             break
         seen = mark

@@ -55,17 +55,22 @@ def _slice_rows(total: int, width: int, min_slice_rows: int) -> int:
 
 
 def find_hot_keys(
-    df: DataFrame, keys: Sequence[str], min_slice_rows: int = MIN_SLICE_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    min_slice_rows: int = MIN_SLICE_ROWS,
+    total: int | None = None,
 ) -> HotKeys | None:
     """Keys with more than two slices' worth of rows, or None.
 
+    Without keys the whole table is one; its number of rows can be given as ``total``.
+
     One aggregation over the key columns alone, combined on the map side. Only if the largest
     key is hot, a second one lists the hot keys.
     """
     spark = df.sparkSession
     width = shuffle_width(spark)
     if not keys:
-        total = df.count()
+        total = df.count() if total is None else total
         share = _slice_rows(total, width, min_slice_rows)
         if total <= 2 * share:
             return None

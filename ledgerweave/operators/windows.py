@@ -7,7 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.operators.hotkeys import MIN_SLICE_ROWS, KeyedOrder
+from ledgerweave.operators.hotkeys import (
+    MIN_SLICE_ROWS,
+    NOTHING_HOT,
+    KeyedOrder,
+    find_hot_keys,
+)
 from ledgerweave.session import written
 
 
@@ -88,12 +93,15 @@ def global_index(
     order: Sequence[str],
     out: str = "index",
     min_slice_rows: int = MIN_SLICE_ROWS,
+    total: int | None = None,
 ) -> DataFrame:
     """Dense position 0..n-1 in the total order given by ``order``.
 
     The table is one long order, cut into slices that are numbered in parallel and moved up
-    by the size of the slices before them. ``order`` must be unique.
+    by the size of the slices before them. ``order`` must be unique. ``total`` saves counting
+    the rows where their number is known.
     """
-    ordered = KeyedOrder(df, [], order, (), min_slice_rows)
+    finding = find_hot_keys(df, [], min_slice_rows, total) or NOTHING_HOT
+    ordered = KeyedOrder(df, [], order, (), min_slice_rows, finding)
     counted = ordered.sums({out: F.lit(1).cast("bigint")}).done()
     return counted.withColumn(out, F.col(out) - 1)

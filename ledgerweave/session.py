@@ -51,7 +51,7 @@ def shuffle_width(spark: SparkSession) -> int:
 def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's shared one, or a test folder in local mode."""
     context = spark.sparkContext
-    shared = spark.conf.get(CHECKPOINT_DIR, None)
+    shared = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if not shared:
         if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
