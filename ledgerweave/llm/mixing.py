@@ -32,13 +32,16 @@ TOLERANCE = 1e-7
 
 
 def _learn(docs, labelled, id_column, text, domain, names, max_rows) -> np.ndarray:
-    """Weights of one classifier for each domain against the others, as columns."""
+    """Weights of one classifier for each domain against the others, as columns. Of two domains
+    the second one's are those of the first with the other sign."""
     columns = []
-    for name in names:
+    for name in names[:1] if len(names) == 2 else names:
         own = labelled.select(
             F.col(f"`{id_column}`"), (F.col(f"`{domain}`") == name).cast("int").alias("label")
         )
         columns.append(quality.train(docs, own, id_column, text, "label", max_rows))
+    if len(names) == 2:
+        columns.append(-columns[0])
     return np.stack(columns, axis=1)
 
 

@@ -8,7 +8,7 @@ n-grams in its text.
 
 Training reads a sample of the labelled rows that is bounded by ``max_rows``, spread over
 ``TRAINERS`` tasks. Each task passes over its rows ``EPOCHS`` times; weights are averaged, so
-the driver sees ``TRAINERS`` times at most ``2 ** BITS`` numbers whatever the input. Scoring
+the driver sees at most ``2 ** BITS`` numbers whatever the input. Scoring
 is a sparse dot product against the weights, sent once to each task.
 """
 
@@ -142,8 +142,8 @@ def _train(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = np.repeat(np.arange(len(mine)), [first[d + 1] - first[d] for d in mine])
             model.learn(own, slot[at], value[mine][own], labels[mine])
     weights = model.weights()
-    used = np.flatnonzero(weights)
-    yield pd.DataFrame({"slot": used, "weight": weights[used], "rows": len(texts)})
+    used = np.append(np.flatnonzero(weights[:-1]), len(weights) - 1).astype(np.int32)
+    yield pd.DataFrame({"slot": used, "weight": weights[used], "rows": np.int32(len(texts))})
 
 
 def train(
@@ -176,17 +176,19 @@ def train(
             F.col("label").cast("double").alias("label"),
         )
     )
-    parts = (
+    # averaged before they reach the driver: one number for each feature in use
+    summed = (
         rows.repartition(TRAINERS, "trainer")
-        .mapInPandas(_train, "slot long, weight double, rows long")
-        .toPandas()
+        .mapInPandas(_train, "slot int, weight double, rows int")
+        .groupBy("slot")
+        .agg(F.sum(F.col("weight") * F.col("rows")).alias("weight"), F.sum("rows").alias("rows"))
+        .toArrow()
     )
     weights = np.zeros((1 << BITS) + 1)
-    if len(parts):
-        # each task's weights count by its rows; a task is told by its number of rows and bias
-        whole = parts.loc[parts["slot"] == 1 << BITS, "rows"].sum()
-        np.add.at(weights, parts["slot"], parts["weight"] * parts["rows"] / max(1, whole))
-    return weights
+    slots = summed.column("slot").to_numpy()
+    weights[slots] = summed.column("weight").to_numpy()
+    taught = summed.column("rows").to_numpy()[slots == 1 << BITS].sum()  # all tasks have a bias
+    return weights / max(1, taught)
 
 
 def margins(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
