@@ -45,22 +45,30 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id.
 
-    Rows that share this id with other texts of the group are told apart by their text.
-    Documents without words are no duplicates of anything and stay.
+    Groups are of rows and not of ids: rows without an id come after all others, and rows that
+    share an id are told apart by their text. Rows that are equal in both are one. Documents
+    without words are no duplicates of anything and stay, each row once.
     """
-    groups, _ = written(jaccard.near_duplicates(docs), "groups")
-    grouped = groups.filter("n_shingles > 0").select("doc_id", "component_id").distinct()
-    same = docs["doc_id"].eqNullSafe(grouped["doc_id"])
-    marked = docs.join(grouped, same, "left").select(docs["*"], "component_id")
-    blank = F.coalesce(F.trim(F.regexp_replace("text", r"[\t-\r]", " ")), F.lit("")) == ""
-    kept = marked.filter(blank | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    row = ["id", "h1", "h2"]
     first = (
-        kept.filter(~blank)
-        .groupBy("doc_id")
-        .agg(F.min_by(F.struct(*COLUMNS[1:]), F.xxhash64("text")).alias("row"))
-        .select("doc_id", "row.*")
+        jaccard.grouped_rows(docs)
+        .filter("n_shingles > 0")
+        .groupBy("label")
+        .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), *row)).alias("first"))
+        .select(*[F.col("first").getField(name).alias(f"first_{name}") for name in row])
+    )
+    blank = F.coalesce(F.trim(F.regexp_replace("text", r"[\t-\r]", " ")), F.lit("")) == ""
+    single = (
+        docs.filter(~blank)
+        .select(F.col("doc_id").alias("id"), *jaccard.text_hashes("text"), F.struct(*COLUMNS).alias("row"))
+        .groupBy(*row)
+        .agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     )
-    return kept.filter(blank).select(*COLUMNS).unionByName(first.select(*COLUMNS))
+    same = F.lit(True)
+    for name in row:
+        same = same & single[name].eqNullSafe(first[f"first_{name}"])
+    kept = single.join(first, same, "left_semi").select("row.*")
+    return docs.filter(blank).select(*COLUMNS).unionByName(kept)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -464,39 +464,35 @@ def _set_links(docs: DataFrame, width: int, percent: int, seed: int, n_bytes: in
     return links.unionByName(written(rest, "links")[0])
 
 
-def near_duplicates(
+def grouped_rows(
     docs: DataFrame,
     id_column: str = "doc_id",
     text: str = "text",
     width: int = WIDTH,
     percent: int = PERCENT,
 ) -> DataFrame:
-    """``id_column, n_shingles, component_id`` for each row of ``docs``.
+    """``id, h1, h2, n_shingles, label`` for each row of ``docs``, written.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case. A row's set holds its distinct
-    runs of ``width`` words, or its whole sequence if it has fewer. Rows link when
-    100 * |both| >= percent * |either|; ``component_id`` is the smallest id reached by links,
-    the row's own included.
-
-    Null and empty texts and those of white space have no set: n_shingles 0, no links, their
-    own id. Equal sets link, so copies and repeated rows share a component. A null id is
-    passed over in the minimum; a component of null ids only has a null component_id.
-    Other columns are not read. An empty table gives no rows.
+    ``h1, h2`` are 128 bits of the text (null as an empty one) and ``label`` is that of the
+    row's group, as near_duplicates links rows. A label follows from the text and never from
+    the id, so null and repeated ids mix no groups. Rows without a set (n_shingles 0) share a
+    label that says nothing.
     """
     if _most_apart(TINY, TINY, percent) > 2:
         raise ValueError("the scheme of the lowest band needs a higher percentage")
     texts = docs.select(F.col(f"`{text}`").alias("text"))
-    named = docs.select(F.col(f"`{id_column}`"), F.col(f"`{text}`").alias("__text"))
+    named = docs.select(
+        F.col(f"`{id_column}`").alias("id"), *text_hashes(text), F.col(f"`{text}`").alias("__text")
+    )
     kind = named.schema[0].dataType.simpleString()
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     seed = 0
+    names = ["id", "h1", "h2", "n_shingles", "s", "proof"]
     while True:
         rows, _ = written(
             named.mapInArrow(
-                partial(
-                    _describe, width=width, seed=seed, names=["id", "n_shingles", "s", "proof"]
-                ),
-                f"id {kind}, n_shingles long, s long, proof long",
+                partial(_describe, width=width, seed=seed, names=names),
+                f"id {kind}, h1 long, h2 long, n_shingles long, s long, proof long",
             ),
             "set-keys",
         )
@@ -511,9 +507,37 @@ def near_duplicates(
     links = _set_links(texts, width, percent, seed, n_bytes)
     joined = components(links)
     labelled = rows.join(joined, rows["s"] == joined["node"], "left").select(
-        "id", "n_shingles", F.coalesce("component", "s").alias("label")
+        "id", "h1", "h2", "n_shingles", F.coalesce("component", "s").alias("label")
     )
-    labelled, _ = written(labelled, "labelled")
+    return written(labelled, "labelled")[0]
+
+
+def text_hashes(text: str) -> list[Column]:
+    """128 bits of a text column as two numbers, ``h1, h2``; null counts as empty."""
+    content = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return [F.xxhash64(content).alias("h1"), F.xxhash64(F.lit("second"), content).alias("h2")]
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text: str = "text",
+    width: int = WIDTH,
+    percent: int = PERCENT,
+) -> DataFrame:
+    """``id_column, n_shingles, component_id`` for each row of ``docs``.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case. A row's set holds its distinct
+    runs of ``width`` words, or its whole sequence if it has fewer. Rows link when
+    100 * |both| >= percent * |either|; ``component_id`` is the smallest id reached by links,
+    the row's own included.
+
+    Null and empty texts and those of white space have no set: n_shingles 0, no links, their
+    own id. Equal sets link, so copies and repeated rows share a component. A null id is
+    passed over in the minimum; a component of null ids only has a null component_id.
+    Other columns are not read. An empty table gives no rows.
+    """
+    labelled = grouped_rows(docs, id_column, text, width, percent)
     least = labelled.filter("n_shingles > 0").groupBy("label").agg(F.min("id").alias("least"))
     return labelled.join(least, "label", "left").select(
         F.col("id").alias(id_column),

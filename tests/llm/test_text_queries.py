@@ -67,3 +67,25 @@ def test_stages_on_odd_rows(spark):
         for name, stage in corpus_pipeline.STAGES:
             docs = written(stage(spark, docs, SMALL), f"odd-{name}")[0]
         assert docs.columns[0] == "doc_id"
+
+
+def test_each_group_of_rows_keeps_one(spark):
+    """Groups of rows whose ids are null or repeated."""
+    alone, near, other, third, fourth = (
+        " ".join(f"{c}{i}" for i in range(40)) for c in ("a", "n", "o", "t", "f")
+    )
+    rows = [
+        (None, alone), (None, other), (None, other + " end"), (None, third), (7, third),
+        (3, near), (5, near + " end"), (5, fourth), (5, fourth),
+        (5, " "), (5, None), (None, ""), (None, ""),
+    ]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    )
+    found = corpus_pipeline.duplicates_stage(spark, docs, SMALL)
+    kept = sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=repr)
+    of_other = next(t for i, t in kept if (t or "").startswith("o0"))
+    assert of_other in (other, other + " end")
+    wanted = [(None, alone), (None, of_other), (7, third), (3, near), (5, fourth),
+              (5, " "), (5, None), (None, ""), (None, "")]
+    assert kept == sorted(wanted, key=repr)
