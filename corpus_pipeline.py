@@ -33,13 +33,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without widespread lines; one of which nothing is left goes.
-
-    All its lines stand elsewhere. A document that was blank before stays.
-    """
-    cut = lines.remove_widespread_lines(docs, prefix="_")
-    emptied = (F.col("_n_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s", " ")) == "")
-    return _columns(cut.filter(~emptied | F.col("text").isNull()))
+    """Documents without widespread lines. All stay; one whose lines all stand elsewhere is empty."""
+    return _columns(lines.remove_widespread_lines(docs, prefix="_"))
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

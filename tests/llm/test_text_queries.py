@@ -89,3 +89,10 @@ def test_each_group_of_rows_keeps_one(spark):
     wanted = [(None, alone), (None, of_other), (7, third), (3, near), (5, fourth),
               (5, " "), (5, None), (None, ""), (None, "")]
     assert kept == sorted(wanted, key=repr)
+
+
+def test_documents_stay_when_all_their_lines_go(spark):
+    rows = [(i, "De.", "en", f"s{i}", 3) for i in range(12)] + [(20, "De.\nown line", "en", "s", 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.lines_stage(spark, docs, SMALL).collect()}
+    assert found == {0: ("De.", 3), 20: ("own line", 8)} | {i: ("", 0) for i in range(1, 12)}
