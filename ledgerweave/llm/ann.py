@@ -152,6 +152,20 @@ def _search(batches: Iterable[pa.RecordBatch], dimension: int, bits: int, most:
                 )
 
 
+def _dimension(rows: DataFrame) -> int:
+    """The length that most of the rows have which could take part, 0 if there are none."""
+    square = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
+    usable = F.col("id").isNotNull() & (square > 0) & (square < float("inf"))  # NaN is above
+    common = (
+        rows.filter(usable)
+        .groupBy(F.size("vector").alias("length"))
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .orderBy(F.desc("rows"), F.desc("length"))
+        .first()
+    )
+    return common["length"] if common else 0
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -165,13 +179,14 @@ def nearest(
     Both tables have a whole-number id and an array of numbers. Equal scores go to the
     smaller id; rows with the query's own id are never its neighbours. Rows that are equal in
     id and vector count once. Rows take no part if the id or vector is null, a component is
-    null or not finite, the vector is zero, or its length is not that of the longest vector.
+    null or not finite, the vector is zero, or its length is not the one that most of the
+    other ``vectors`` have (of equally many, the longer).
     An empty table or no partner gives no rows. Other columns are not read.
     """
     columns = [F.col(f"`{id_column}`").cast("long").alias("id"),
                F.col(f"`{vector}`").cast("array<double>").alias("vector")]
     all_rows = vectors.select(*columns).distinct()
-    dimension = vectors.agg(F.max(F.size(F.col(f"`{vector}`")))).first()[0] or 0
+    dimension = _dimension(vectors.select(*columns))
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     if dimension <= 0:

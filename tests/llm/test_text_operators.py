@@ -417,6 +417,18 @@ def test_nearest_vectors(spark):
     assert ann.nearest(few, few.filter("vec_id = 0")).count() == 2
 
 
+def test_odd_lengths_do_not_set_the_dimension(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((20, 8)))]
+    rows += [(90, [float("nan")] * 9), (91, [None] + [1.0] * 11), (None, [1.0] * 12), (92, [0.0] * 10),
+             (93, [float("inf")] * 13), (94, [1.0] * 14), (95, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.nearest(df, df.filter("vec_id < 20")).collect()
+    assert len(found) == 100 and {r["query_id"] for r in found} == set(range(20))
+    assert {r["vec_id"] for r in found} <= set(range(20))
+    assert ann.nearest(df.filter("vec_id in (90, 91, 92, 93, 95)"), df).count() == 0
+
+
 def test_recall_on_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.collect()
