@@ -15,7 +15,8 @@ most H elements, H in proportion to |r| + |s|. The universe is cut into m segmen
   allocation by cost: words that everybody has fill the segments that go.
 * In the lowest band (at most TINY elements, so H <= 2) there are two segments: the first is
   indexed with its one-deletion neighbourhood, which bears one difference, the second as it
-  is. They cannot both differ by more than that.
+  is. They cannot both differ by more than that. An empty segment tells nothing and is not
+  sent; deletions from the other one stand for it.
 
 Sets that share a signature are compared exactly. Equal sets count once. Comparing follows the
 components and not all pairs: each set is first compared with the best connected set among
@@ -26,6 +27,7 @@ elements; what leaves a cell are links between components, not pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from functools import partial
 
@@ -47,6 +49,7 @@ PERCENT = 80
 TINY = 12
 SALT_ROWS = 5_000
 BLOCK_SETS = 3_000
+BLOCK_ELEMENTS = 3_000_000
 SHARD_BYTES = 32_000_000
 
 _U = np.uint64
@@ -137,19 +140,39 @@ def _segments(sets: Sets, docs: np.ndarray, scheme: np.ndarray, keep: np.ndarray
     return owner[chosen], signature
 
 
-def _tiny(sets: Sets, docs: np.ndarray):
-    """Signatures in the lowest band: one segment with its deletions, one as it is."""
+def _without(value: np.ndarray, most: int) -> np.ndarray:
+    """The sums of ``value`` with up to ``most`` (at most 2) numbers left out."""
+    total = value.sum(dtype=_U)
+    sums = [np.array([total]), total - value] if most else [np.array([total])]
+    if most > 1:
+        one, two = np.triu_indices(len(value), 1)
+        sums.append(total - value[one] - value[two])
+    return np.concatenate(sums)
+
+
+def _tiny(sets: Sets, docs: np.ndarray, allowed: np.ndarray):
+    """Signatures in the lowest band: one segment with its deletions, one as it is.
+
+    Nothing left of a segment is what many sets of all kinds have in common. Such a signature
+    gives way to the other segment with up to ``allowed`` elements deleted: the differences
+    are all there, but for one if the first segment of only one of the sets has an element.
+    """
     owners, signatures = [], []
     for i, d in enumerate(docs):
         token = sets.token[sets.first[d] : sets.first[d + 1]]
         part = (mix(token, 21) & _U(1)).astype(bool)
         value = mix(token, 22)
-        near, rest = value[part], value[~part].sum(dtype=_U)
-        total = near.sum(dtype=_U)
-        own = np.append(np.append(total - near, total), rest)
-        own[:-1] = mix(own[:-1], 23)
-        own[-1:] = mix(own[-1:], 24)
-        signatures.append(np.unique(own))
+        near, rest = value[part], value[~part]
+        own = []
+        if len(near):
+            own.append(mix(_without(near, 1 if len(near) > 1 else 0), 23))
+        if len(near) < 2:
+            own.append(mix(_without(rest, int(allowed[i]) - len(near)), 26))
+        if len(rest):
+            own.append(mix(_without(rest, 0), 24))
+        else:
+            own.append(mix(_without(near, int(allowed[i])), 25))
+        signatures.append(np.unique(np.concatenate(own)))
         owners.append(np.full(len(signatures[-1]), i))
     if not owners:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=_U)
@@ -157,7 +180,10 @@ def _tiny(sets: Sets, docs: np.ndarray):
 
 
 def signatures(sets: Sets, docs: np.ndarray, percent: int):
-    """doc, signature (its lowest bit is that of the scheme), for all schemes of ``docs``."""
+    """doc, signature (its lowest bit is that of the scheme), for all schemes of ``docs``.
+
+    Sets that may not differ at all from similar ones have none, as equal sets are one.
+    """
     size = sets.size[docs]
     band = band_of(size)
     partner = _largest_partner(size, percent)
@@ -167,13 +193,14 @@ def signatures(sets: Sets, docs: np.ndarray, percent: int):
         scheme = band[mine] + step
         reach = np.minimum(partner[mine], top_of(scheme))
         allowed = _most_apart(size[mine], reach, percent)
+        mine, scheme, allowed = (x[allowed > 0] for x in (mine, scheme, allowed))
         wide = scheme > 0
         keep = allowed + 1 + spare_of(scheme)
         owner, signature = _segments(sets, docs[mine[wide]], scheme[wide], keep[wide], percent)
         parity = (scheme[wide] & 1).astype(_U)[owner]
         out_doc.append(mine[wide][owner])
         out_signature.append(signature & ~_U(1) | parity)
-        owner, signature = _tiny(sets, docs[mine[~wide]])
+        owner, signature = _tiny(sets, docs[mine[~wide]], allowed[~wide])
         out_doc.append(mine[~wide][owner])
         out_signature.append(signature & ~_U(1))
     doc, signature = np.concatenate(out_doc), np.concatenate(out_signature)
@@ -362,17 +389,21 @@ def _cell_links(cell: pd.DataFrame, percent: int) -> pd.DataFrame:
         begins = np.searchsorted(flat, tokens[x])
         count = np.searchsorted(flat, tokens[x], side="right") - begins
         at = np.repeat(begins - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        common = np.bincount(owner[at], minlength=len(cell))
-        near = 100 * common >= percent * (sizes[x] + sizes - common)
-        near &= (label != label[x]) & (common > 0)
-        near = np.flatnonzero(near)
+        if len(at) < len(cell):
+            met, common = np.unique(owner[at], return_counts=True)
+        else:
+            common = np.bincount(owner[at], minlength=len(cell))
+            met = np.flatnonzero(common)
+            common = common[met]
+        near = 100 * common >= percent * (sizes[x] + sizes[met] - common)
+        near = met[near & (label[met] != label[x])]
         _, first = np.unique(label[near], return_index=True)
         found.extend((numbers[x], numbers[y]) for y in near[first])
     return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
 
 
 def _families(places: DataFrame) -> DataFrame:
-    """``s, label, family``: sets that meet others outside their component, with all that they
+    """``s, label, n, family``: sets that meet others outside their component, with all that they
     are joined to by such meetings."""
     mixed = (
         places.groupBy("signature")
@@ -380,23 +411,26 @@ def _families(places: DataFrame) -> DataFrame:
         .filter("low <> high")
         .select("signature", "least")
     )
-    opened, _ = written(places.join(mixed, "signature").select("s", "label", "least"), "open")
+    opened, _ = written(places.join(mixed, "signature").select("s", "label", "n", "least"), "open")
     edges = opened.select(F.col("s").alias("src"), F.col("least").alias("dst"))
     families = components(edges).withColumnsRenamed({"node": "s", "component": "family"})
-    return opened.select("s", "label").distinct().join(families, "s")
+    return opened.select("s", "label", "n").distinct().join(families, "s")
 
 
 def _cells(families: DataFrame) -> DataFrame:
     """Each set in the cells of its family's grid: ``cell, i, j, block, s, label``.
 
-    A family is dealt into blocks of about BLOCK_SETS sets, and a cell holds two blocks; small
-    families share cells. Comparing more than has to be does no harm.
+    A family is dealt into blocks of about BLOCK_SETS sets or BLOCK_ELEMENTS elements, whichever
+    are more blocks, and a cell holds two blocks; small families share cells. Comparing more than has to be does no harm.
     """
     families, _ = written(families, "families")
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    filled = F.greatest(
+        F.count(F.lit(1)) / F.lit(BLOCK_SETS), F.sum("n") / F.lit(BLOCK_ELEMENTS)
+    )
+    sizes = families.groupBy("family").agg(filled.alias("filled"))
     sized = families.join(sizes, "family")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK_SETS)).cast("int")
-    shared = F.ceil(F.lit(families.count() / BLOCK_SETS)).cast("int")
+    blocks = F.ceil(F.col("filled")).cast("int")
+    shared = F.lit(math.ceil(families.agg(filled).first()[0] or 0))
     place = F.when(blocks > 1, F.col("family")).otherwise(F.pmod(F.xxhash64("family"), shared))
     dealt = sized.select(
         "s", "label", place.alias("place"), blocks.alias("blocks"),
@@ -449,7 +483,7 @@ def _set_links(docs: DataFrame, width: int, percent: int, seed: int, n_bytes: in
     links = comparer.links(best).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     # then what still meets sets of other components, in cells
     joined = components(links).withColumnsRenamed({"node": "s", "component": "label"})
-    places = members.select("s", "signature").join(joined, "s", "left")
+    places = members.select("s", "signature", "n").join(joined, "s", "left")
     families = _families(places.withColumn("label", F.coalesce("label", "s")))
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:

@@ -543,6 +543,43 @@ def test_similar_sets_share_signatures():
             assert len(shared) > jaccard.spare_of(np.array([top]))[0]
 
 
+def test_short_sets_share_no_constant_signature():
+    """Unrelated short texts meet nowhere, and all similar ones do."""
+    pick = random.Random(21)
+    texts = [" ".join(f"w{pick.randrange(10**9)}" for _ in range(n)) for n in range(1, 17) for _ in range(60)]
+    sets = jaccard.Sets([t.encode() for t in texts], 5, 0)
+    doc, signature = jaccard.signatures(sets, np.arange(len(texts)), 80)
+    pairs = set(zip(doc.tolist(), signature.tolist()))
+    assert max(Counter(s for _, s in pairs).values()) == 1
+    assert min(sets.size[doc]) > 3  # smaller ones are similar to equal sets only
+    for _ in range(4000):
+        one = [f"e{pick.randrange(10**9)}" for _ in range(pick.randrange(4, 13))]
+        apart = pick.randrange(1, 3)
+        lost = pick.randrange(apart + 1)
+        other = one[lost:] + [f"o{pick.randrange(10**9)}" for _ in range(apart - lost)]
+        if len(other) > 12 or 100 * (len(one) - lost) < 80 * (len(one) + apart - lost):
+            continue
+        made = jaccard.Sets([b""], 5, 0)
+        tokens = [np.sort([np.uint64(hash_of(e)) for e in part]) for part in (one, other)]
+        made.token = np.concatenate(tokens)
+        made.size = np.array([len(t) for t in tokens])
+        made.first = np.append(0, np.cumsum(made.size))
+        made.doc = np.repeat([0, 1], made.size)
+        doc, signature = jaccard.signatures(made, np.array([0, 1]), 80)
+        assert set(signature[doc == 0]) & set(signature[doc == 1])
+
+
+def hash_of(name):
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
+
+
+def test_families_are_cut_by_elements(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_ELEMENTS", 100)
+    rows = [(i, i, 25, 1) for i in range(40)]
+    cells = jaccard._cells(spark.createDataFrame(rows, "s long, label long, n int, family long"))
+    assert cells.select("block").distinct().count() > 1
+
+
 # 9: token counts
 
 
