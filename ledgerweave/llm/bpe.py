@@ -4,15 +4,19 @@ Texts are normalised and split into words; each different word of a chunk is enc
 symbols of all new words lie in one flat array. In each round the keys of all neighbouring
 pairs are looked up by binary search among the sorted keys of the merge table, and each word
 merges its lowest-ranked pair, at all places from the left; words without a pair leave. A word
-of n symbols takes at most n - 1 rounds.
+of n symbols takes at most n - 1 rounds; as each goes over all of the word, words of more than
+``LONG_WORD`` bytes (which text hardly has) are merged one by one, lowest rank first, with a heap
+of pairs, in a time that grows little faster than their length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterable
+from contextlib import contextmanager
 from functools import lru_cache, partial
 
 import numpy as np
@@ -29,6 +33,7 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}
 WORD_END = "</w>"
 
 KNOWN_WORDS = 300_000  # words a task remembers; beyond it, it starts anew
+LONG_WORD = 2_000  # bytes
 CHUNK_BYTES = 2_000_000
 _NONE = np.iinfo(np.int32).max
 
@@ -71,6 +76,7 @@ class Codec:
         self.key = key[order]
         self.rank = order.astype(np.int32)
         self.merged = np.array([vocabulary[a + b] for a, b in pairs], dtype=np.int64)
+        self.ranks: dict[int, tuple[int, int]] | None = None  # made for the first long word
         self.forget()
 
     def forget(self) -> None:
@@ -139,11 +145,55 @@ class Codec:
         ids = np.concatenate(done_symbol)[order].astype(np.uint32)
         return ids, np.cumsum(np.bincount(word, minlength=len(words)))
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one word. Pairs wait in a heap by rank and place; a pair whose symbols have
+        changed meanwhile is passed over."""
+        if self.ranks is None:
+            self.ranks = dict(zip(self.key.tolist(), zip(self.rank.tolist(), self.merged[self.rank].tolist())))
+        raw = np.frombuffer(word, dtype=np.uint8)
+        symbol = self.inner[raw].tolist()
+        symbol[-1] = int(self.last[raw[-1]])
+        size, ranks = self.size, self.ranks
+        after = [*range(1, len(symbol)), -1]
+        before = [*range(-1, len(symbol) - 1)]
+        heap = []
+
+        def offer(at: int) -> None:
+            if at >= 0 and after[at] >= 0:
+                key = symbol[at] * size + symbol[after[at]]
+                if key in ranks:
+                    heap.append((ranks[key][0], at, key))
+
+        for at in range(len(symbol) - 1):
+            offer(at)
+        heapq.heapify(heap)
+        while heap:
+            _, at, key = heapq.heappop(heap)
+            right = after[at]
+            if symbol[at] < 0 or right < 0 or symbol[at] * size + symbol[right] != key:
+                continue
+            symbol[at], symbol[right] = ranks[key][1], -1
+            after[at] = after[right]
+            if after[at] >= 0:
+                before[after[at]] = at
+            for changed in (before[at], at):
+                new = len(heap)
+                offer(changed)
+                if len(heap) > new:
+                    heapq.heappush(heap, heap.pop())
+        return np.array([x for x in symbol if x >= 0], dtype=np.uint32)
+
     def _learn(self, words: set[str]) -> None:
         new = sorted(w for w in words if w not in self.place)
         plain = [w for w in new if w not in self.special]
         marks = [w for w in new if w in self.special]
-        ids, ends = self.merge([w.encode("utf-8") for w in plain])
+        encoded = [w.encode("utf-8") for w in plain]
+        long = {i for i, w in enumerate(encoded) if len(w) > LONG_WORD}
+        plain = [w for i, w in enumerate(plain) if i not in long] + [plain[i] for i in sorted(long)]
+        ids, ends = self.merge([w for i, w in enumerate(encoded) if i not in long])
+        for i in sorted(long):
+            ids = np.append(ids, self.merge_long(encoded[i]))
+            ends = np.append(ends, len(ids))
         ids = np.append(ids, np.array([self.special[m] for m in marks], dtype=np.uint32))
         ends = np.append(ends, (ends[-1] if len(ends) else 0) + 1 + np.arange(len(marks)))
         for i, w in enumerate([*plain, *marks], start=len(self.place)):
@@ -195,14 +245,24 @@ def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     )
 
 
-def _encode(batches, path: str, text: str, ids: str):
+@contextmanager
+def _task_codec(path: str):
+    """The vocabulary, kept by the worker; the words it met go with the task."""
     known = codec(path)
-    for batch, texts in _slices(batches, text):
-        flat, ends = known.encode(texts)
-        lists = pa.LargeListArray.from_arrays(
-            pa.array(np.append(0, ends), pa.int64()), pa.array(flat.astype(np.int32))
-        )
-        yield _with(batch, **{ids: lists.cast(pa.list_(pa.int32()))})
+    try:
+        yield known
+    finally:
+        known.forget()
+
+
+def _encode(batches, path: str, text: str, ids: str):
+    with _task_codec(path) as known:
+        for batch, texts in _slices(batches, text):
+            flat, ends = known.encode(texts)
+            lists = pa.LargeListArray.from_arrays(
+                pa.array(np.append(0, ends), pa.int64()), pa.array(flat.astype(np.int32))
+            )
+            yield _with(batch, **{ids: lists.cast(pa.list_(pa.int32()))})
 
 
 def _decode(batches, path: str, ids: str, text: str):
@@ -213,22 +273,22 @@ def _decode(batches, path: str, ids: str, text: str):
 
 
 def _digest(batches, path: str, text: str):
-    known = codec(path)
-    for batch, texts in _slices(batches, text):
-        flat, ends = known.encode(texts)
-        counts, first, second, begin = [], [], [], 0
-        for end in ends.tolist():
-            own = flat[begin:end]
-            counts.append(end - begin)
-            first.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
-            second.append(hashlib.sha256(known.decode(own.tolist()).encode("utf-8")).hexdigest())
-            begin = end
-        yield _with(
-            batch.drop_columns([text]),
-            n_tokens=pa.array(counts, pa.int64()),
-            ids_sha256=pa.array(first, pa.string()),
-            decoded_sha256=pa.array(second, pa.string()),
-        )
+    with _task_codec(path) as known:
+        for batch, texts in _slices(batches, text):
+            flat, ends = known.encode(texts)
+            counts, first, second, begin = [], [], [], 0
+            for end in ends.tolist():
+                own = flat[begin:end]
+                counts.append(end - begin)
+                first.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
+                second.append(hashlib.sha256(known.decode(own.tolist()).encode("utf-8")).hexdigest())
+                begin = end
+            yield _with(
+                batch.drop_columns([text]),
+                n_tokens=pa.array(counts, pa.int64()),
+                ids_sha256=pa.array(first, pa.string()),
+                decoded_sha256=pa.array(second, pa.string()),
+            )
 
 
 def _kinds(df: DataFrame) -> str:

@@ -52,7 +52,7 @@ def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of documents that give target shares of clean, toxic and junk tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labelled = domains(table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, labelled, DOMAINS).select(
+    return mixing.mix(docs, labelled, DOMAINS, keep=["doc_id"]).select(
         "doc_id",
         "n_tokens",
         *[F.col("posterior")[i].alias(f"p_{name}") for i, name in enumerate(DOMAINS)],
@@ -68,14 +68,15 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold(column: str):
-    return F.crc32(F.col(column).cast("string").cast("binary")) % FOLDS
+    """The fold of an id; a null id counts as empty text. It is in fold 0 and teaches nothing."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of documents, learned from labels outside the fold that is held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(fold("doc_id") != 0)
-    scored = quality.score_quality(docs, labels)
+    scored = quality.score_quality(docs, labels, keep=["doc_id"])
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
 
 
