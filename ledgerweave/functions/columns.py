@@ -29,11 +29,24 @@ def to_units(column: str | Column, scale: int) -> Column:
 
 
 def base_units(column: str | Column, scale: int) -> Column:
-    """Money as a whole number of its smallest unit, as ``decimal(38,0)``."""
-    column = F.col(column) if isinstance(column, str) else column
-    # fewer digits before the product, which would else have more than 38
-    units = column.cast(f"decimal({38 - scale},{scale})")
-    return (units * F.lit(10**scale).cast(f"decimal({scale + 1},0)")).cast("decimal(38,0)")
+    """Money as a whole number of its smallest unit, as ``decimal(38,0)``.
+
+    Exact for all amounts whose number of units has 38 digits or fewer; ``scale`` is at most 18.
+    The whole part and the rest are multiplied apart, as one product would need more digits than
+    a decimal has.
+    """
+    if not 0 <= scale <= 18:
+        raise ValueError("scale must be between 0 and 18")
+    amount = to_units(column, scale)
+    if scale == 0:
+        return amount.cast("decimal(38,0)")
+    factor = F.lit(10**scale).cast(f"decimal({scale + 1},0)")
+    whole = F.when(amount < 0, F.ceil(amount)).otherwise(F.floor(amount))
+    rest = (amount % F.lit(1).cast("decimal(1,0)")).cast(f"decimal({scale + 1},{scale})")
+    units = (rest * factor).cast(f"decimal({scale + 1},0)")
+    return ((whole.cast(f"decimal({39 - scale},0)") * factor).cast("decimal(38,0)") + units).cast(
+        "decimal(38,0)"
+    )
 
 
 def micros(column: str | Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ledgerweave.session import drop_path, written, written_by
+from ledgerweave.session import drop_path, drop_written, written, written_by
+
 
 def both_directions(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(
@@ -37,7 +38,7 @@ def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
         frontier, _ = written(step.join(found.select("node"), "node", "left_anti"), "reach")
         size = frontier.count()
         found = found.unionByName(frontier.withColumn("distance", F.lit(distance)))
-    drop_path(edges.sparkSession, edges_path)
+    drop_written(edges.sparkSession, edges_path)
     return found
 
 

@@ -1,6 +1,8 @@
 """Ready-made queries over the given tables, each with a SQL twin where SQL can say it."""
 
-from ledgerweave.plans import accounts, chains, flows, graphs, layouts, python_side, streams
+from ledgerweave.plans import (
+    accounts, chains, flows, graphs, layouts, places, python_side, streams, streams_more,
+)
 from ledgerweave.plans.registry import Plan, all_plans
 
 __all__ = [
@@ -11,6 +13,8 @@ __all__ = [
     "flows",
     "graphs",
     "layouts",
+    "places",
     "python_side",
     "streams",
+    "streams_more",
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.functions import udfs
+from ledgerweave.functions import records, udfs
 from ledgerweave.plans.registry import plan
 from ledgerweave.sources.ledger import Ledger
 
@@ -37,3 +37,25 @@ def weighted_mean(t: Ledger) -> DataFrame:
 """)
 def json_rows(t: Ledger) -> DataFrame:
     return udfs.json_rows(t.events, "event_id", "props")
+
+
+@plan("""
+    SELECT event_id, 0 AS place, length(event_type) AS kind, event_type AS body FROM events
+    UNION ALL SELECT event_id, 1, 0, '' FROM events
+    UNION ALL SELECT event_id, 2, 200, props FROM events
+""")
+def record_rows(t: Ledger) -> DataFrame:
+    def record(kind, text):
+        body = text.cast("binary")
+        head = F.concat(F.lpad(F.hex(kind), 2, "0"), F.lpad(F.hex(F.octet_length(body)), 8, "0"))
+        return F.concat(F.unhex(head), body)
+
+    kind = F.col("event_type")
+    stored = t.events.select(
+        "event_id",
+        F.concat(
+            record(F.length(kind), kind), record(F.lit(0), F.lit("")), record(F.lit(200), F.col("props"))
+        ).alias("data"),
+    )
+    found = records.record_rows(stored, "event_id", "data")
+    return found.withColumn("body", F.col("body").cast("string"))

@@ -8,7 +8,7 @@ depend on file times.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,10 +87,10 @@ def _collected(t: Ledger, operator: Callable[[DataFrame], DataFrame]):
     out, checkpoint = scratch_path(t.spark, "stream-out"), scratch_path(t.spark, "stream-state")
     schemas = []
 
-    def run(stream: DataFrame) -> None:
+    def run(stream: DataFrame):
         result = operator(stream)
         schemas.append(result.schema)
-        sources.run_available(result, out, checkpoint)
+        return sources.run_available(result, out, checkpoint)
 
     def read() -> DataFrame:
         return t.spark.read.schema(schemas[-1]).parquet(out)
@@ -179,30 +179,32 @@ def dedupe_stream(t: Ledger) -> DataFrame:
     WHERE l.event_type = 'click' AND r.event_type = 'purchase'
 """)
 def match_stream(t: Ledger) -> DataFrame:
-    def operator(stream: DataFrame) -> DataFrame:
-        clicks = stream.filter("event_type = 'click'").select(
-            "user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("click_time")
-        )
-        purchases = stream.filter("event_type = 'purchase'").select(
-            "user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("purchase_time")
-        )
-        return windows.match_stream(
-            clicks,
-            purchases,
-            "user_id",
-            "click_time",
-            "purchase_time",
-            "click_id",
-            DELAY,
-            "2 hours",
-        )
-
     events, _ = _parted(t.events)
-    run, read = _collected(t, operator)
+    run, read = _collected(t, matched_pairs)
     _feed(t, events, F.col("part"), PARTS, run)
     return read()
 
 
+def matched_pairs(stream: DataFrame, busy: Sequence = ()) -> DataFrame:
+    clicks = stream.filter("event_type = 'click'").select(
+        "user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("click_time")
+    )
+    purchases = stream.filter("event_type = 'purchase'").select(
+        "user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("purchase_time")
+    )
+    return windows.match_stream(
+        clicks,
+        purchases,
+        "user_id",
+        "click_time",
+        "purchase_time",
+        "click_id",
+        DELAY,
+        "2 hours",
+        busy,
+    )
+
+
 _TOTALS_SQL = f"""
     WITH {_PART_SQL},
     per_part AS (

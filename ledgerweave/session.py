@@ -25,6 +25,7 @@ DEFAULTS = {
 }
 
 _local_roots: dict[str, str] = {}
+_tables: dict[str, list[str]] = {}  # catalog entries of intermediate tables, by application
 
 
 def tuned_session(app: str = "ledgerweave", **settings: str) -> SparkSession:
@@ -74,20 +75,45 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete everything this application wrote as intermediate tables."""
+    """Delete everything this application wrote as intermediate tables, and their entries in the
+    catalog."""
+    for name in _tables.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
     drop_path(spark, scratch_root(spark))
 
 
-def written_by(df: DataFrame, column: str, label: str) -> tuple[DataFrame, str]:
-    """As ``written``, in buckets by a column: joins on it then move only the other side."""
+def drop_written(spark: SparkSession, path: str) -> None:
+    """Delete one intermediate table, and its entry in the catalog if it has one."""
+    name = _table_name(path)
+    listed = _tables.get(spark.sparkContext.applicationId, [])
+    if name in listed:
+        listed.remove(name)
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    drop_path(spark, path)
+
+
+def _table_name(path: str) -> str:
+    return path.rsplit("/", 1)[-1].replace("-", "_")
+
+
+def in_buckets(df: DataFrame, columns: list[str], label: str, **options: str) -> tuple[DataFrame, str]:
+    """Write ``df``, which must be partitioned by ``columns`` in ``shuffle_width`` parts, as a table
+    bucketed by them. Buckets need an entry in the catalog; ``drop_scratch`` and ``drop_written``
+    take it away again."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    name = path.rsplit("/", 1)[-1].replace("-", "_")
-    width = shuffle_width(spark)
-    df.repartition(width, column).write.option("path", path).bucketBy(width, column).saveAsTable(name)
+    name = _table_name(path)
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(name)
+    writer = df.write.option("path", path).options(**options)
+    writer.bucketBy(shuffle_width(spark), *columns).saveAsTable(name)
     return spark.table(name), path
 
 
+def written_by(df: DataFrame, column: str, label: str) -> tuple[DataFrame, str]:
+    """As ``written``, in buckets by a column: joins on it then move only the other side."""
+    return in_buckets(df.repartition(shuffle_width(df.sparkSession), column), [column], label)
+
+
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` once and read it back: fixed content and a short lineage that
     outlives any executor. Returns the table and its path."""

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
+import pyarrow.parquet as pq
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -64,35 +69,97 @@ def schema_differences(found: T.StructType, declared: T.StructType) -> list[str]
 def load_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One table with its declared schema, after checking that of all its files.
 
-    Spark reads the footers in a distributed job and puts their columns together, so a column
-    that only some files have, or have with another type, is drift. A file that lacks a column
-    which others have gives nulls; ``missing_columns`` finds such files by reading them.
+    Spark reads the footers in a distributed job and puts their columns together. If that fails,
+    or the columns are not the declared ones, the footers of all files are looked at one by
+    one in tasks, and the error names files, columns and both types. A file that lacks a column
+    which others have gives nulls; ``missing_columns`` finds such files.
     """
     path = f"{directory.rstrip('/')}/{name}.parquet"
+    declared = declared_schema(name)
     try:
         df = spark.read.option("mergeSchema", "true").parquet(path)
-    except PySparkException as error:
+    except (PySparkException, Py4JJavaError) as error:
         if "MERGE" not in str(error):
             raise
-        raise SchemaDrift(f"{path}: files have different types: {error}") from error
-    differences = schema_differences(df.schema, declared_schema(name))
+        files = spark.read.schema(declared).parquet(path).inputFiles()
+        raise SchemaDrift(f"{path}: " + _named(footer_drift(spark, files, declared))) from None
+    differences = schema_differences(df.schema, declared)
     if differences:
-        raise SchemaDrift(f"{path}: " + "; ".join(differences))
-    return df.select(*declared_schema(name).names)
+        named = _named(footer_drift(spark, df.inputFiles(), declared))
+        raise SchemaDrift(f"{path}: " + "; ".join([*differences, named]))
+    return df.select(*declared.names)
+
+
+FOOTERS_PER_TASK = 200
+SHOWN = 20  # differences in an error's text
+
+
+def _footers(batches: Iterable[pa.RecordBatch]):
+    """Columns of each Parquet file and their types, from footers alone."""
+    for batch in batches:
+        files, names, types = [], [], []
+        for uri in batch.column("file").to_pylist():
+            system, path = pa.fs.FileSystem.from_uri(uri)
+            with system.open_input_file(path) as file:
+                arrow = pq.read_schema(file)
+            for field in arrow:
+                try:
+                    found = from_arrow_schema(pa.schema([field]), prefer_timestamp_ntz=True)
+                    kind = found.fields[0].dataType.simpleString()
+                except PySparkException:  # a type that Spark has not
+                    kind = str(field.type)
+                files.append(uri)
+                names.append(field.name)
+                types.append(kind)
+        yield pa.RecordBatch.from_pydict(
+            {"file": pa.array(files, pa.string()), "column": pa.array(names, pa.string()),
+             "type": pa.array(types, pa.string())}
+        )
+
+
+def footers(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """``file, column, type`` of Parquet files, read in tasks; no data page is read.
+
+    The files' store must be one that Arrow can open (local and mounted folders, S3, GCS, HDFS).
+    """
+    listed = spark.createDataFrame([(name,) for name in files], "file string")
+    parts = max(1, min(len(files), -(-len(files) // FOOTERS_PER_TASK)))
+    return listed.repartition(parts).mapInArrow(_footers, "file string, column string, type string")
 
 
-def missing_columns(df: DataFrame) -> DataFrame:
-    """``file, column`` where a file has no value of a column that other files have."""
-    counts = df.groupBy(F.input_file_name().alias("file")).agg(
-        *[F.count(F.col(f"`{name}`")).alias(name) for name in df.columns]
+def footer_drift(spark: SparkSession, files: Sequence[str], declared: T.StructType) -> DataFrame:
+    """``file, column, declared, found`` where a file has another type or another column."""
+    wanted = spark.createDataFrame(
+        [(f.name, f.dataType.simpleString()) for f in declared.fields], "column string, declared string"
     )
-    filled = F.map_from_arrays(
-        F.array(*[F.lit(name) for name in df.columns]),
-        F.array(*[F.col(f"`{name}`") for name in df.columns]),
+    found = footers(spark, files).withColumnRenamed("type", "found")
+    return (
+        found.join(F.broadcast(wanted), "column", "left")  # one row for each declared column
+        .filter(~F.col("declared").eqNullSafe(F.col("found")))
+        .select("file", "column", "declared", "found")
     )
-    long = counts.select("file", F.explode(filled).alias("column", "values"))
-    somewhere = long.groupBy("column").agg(F.sum("values").alias("all")).filter("all > 0")
-    return long.filter("values = 0").join(somewhere, "column", "left_semi").select("file", "column")
+
+
+def _named(drift: DataFrame) -> str:
+    rows = drift.orderBy("file", "column").limit(SHOWN + 1).collect()
+    said = [
+        f"{r['file']}: {r['column']}: declared {r['declared'] or 'nothing'}, found {r['found']}"
+        for r in rows[:SHOWN]
+    ]
+    return "; ".join([*said, "and more"] if len(rows) > SHOWN else said)
+
+
+def missing_columns(df: DataFrame) -> DataFrame:
+    """``file, column`` of columns of ``df`` that some of its Parquet files have and others lack;
+    from the footers alone. Columns that no file has are not listed."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    known = footers(spark, files).select("file", "column")
+    seen = [r["column"] for r in known.select("column").distinct().collect()]
+    some = F.array(*[F.lit(name) for name in df.columns if name in seen]).cast("array<string>")
+    every = spark.createDataFrame([(name,) for name in files], "file string")
+    wanted = every.select("file", F.explode(some).alias("column"))
+    return wanted.join(known, ["file", "column"], "left_anti")
 
 
 def load_ledger(

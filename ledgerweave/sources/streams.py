@@ -95,7 +95,9 @@ class LatestState:
     newest commit before its own and replaces its own folders, so its result is the same.
 
     A bucket is read and written by one task; choose ``buckets`` so that one holds about a
-    file's worth of rows.
+    file's worth of rows. After each ``keep`` commits beyond ``keep``, older ones and the files
+    that only they name are deleted, so that a stream that runs on does not pile them up; a reader
+    that takes longer than ``keep`` batches may lose its files and has to read again.
     """
 
     def __init__(
@@ -106,7 +108,9 @@ class LatestState:
         key: str,
         order: Sequence[str],
         buckets: int = 64,
+        keep: int = 10,
     ):
+        self.keep = max(2, keep)
         self.spark = spark
         self.rows_path = f"{path.rstrip('/')}/rows"
         self.commits_path = f"{path.rstrip('/')}/commits"
@@ -167,6 +171,8 @@ class LatestState:
         commit = self.spark.createDataFrame(sorted(places.items()), "bucket int, written bigint")
         commit.coalesce(1).write.mode("overwrite").parquet(f"{self.commits_path}/batch={batch_id}")
         arrived.unpersist()
+        if len(earlier) + 1 >= 2 * self.keep:
+            self.drop_replaced(self.keep)
 
     def read(self) -> DataFrame:
         commits = self._commits()
@@ -175,17 +181,18 @@ class LatestState:
             return self.spark.createDataFrame([], self.schema)
         return current.select(*self.schema.names)
 
-    def drop_replaced(self) -> int:
-        """Delete commits but the last two, and the bucket files that only those name.
+    def drop_replaced(self, keep: int = 2) -> int:
+        """Delete commits but the last ``keep``, and the bucket files that only those name.
 
         The last batch may run again and then goes by the commit before it, so that one stays.
-        Not while a batch or a reader is running. Returns how many bucket folders were
-        deleted; what is gone is not looked at again.
+        Not while another process merges. Returns how many bucket folders were deleted; what is
+        gone is not looked at again.
         """
         commits = self._commits()
-        needed = {place for c in commits[-2:] for place in self._places(c).items()}
+        keep = max(2, keep)
+        needed = {place for c in commits[-keep:] for place in self._places(c).items()}
         dropped = set()
-        for commit in commits[:-2]:
+        for commit in commits[:-keep]:
             for place in self._places(commit).items():
                 if place not in needed and place not in dropped:
                     dropped.add(place)

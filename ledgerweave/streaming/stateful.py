@@ -2,8 +2,9 @@
 
 Amounts are whole numbers of the smallest unit (``base_units``) with up to 38 digits, so that
 the state is exact; a total with more digits is an error. Null amounts add nothing.
-Both forms add rows up per Arrow batch before the shuffle: a key that holds a third of all
-rows reaches its task as one row per batch instead of one per event.
+All forms add rows up per Arrow batch before the shuffle: a key that holds a third of all
+rows reaches its task as one row per batch instead of one per event. ``expiring_totals`` lets go
+of keys that have been idle; the other two keep every key for ever.
 """
 
 from __future__ import annotations
@@ -26,18 +27,20 @@ _MOST = Decimal(10) ** 38
 _EXACT = Context(prec=60)
 
 
-def _partials(stream: DataFrame, key: str, units: str) -> DataFrame:
+def _partials(stream: DataFrame, key: str, units: str, time: str | None = None) -> DataFrame:
     kind = stream.schema[key].dataType.simpleString()
-    narrow = stream.select(key, F.coalesce(F.col(units).cast("decimal(38,0)"), F.lit(0)).cast("decimal(38,0)").alias("total"))
+    total = F.coalesce(F.col(units).cast("decimal(38,0)"), F.lit(0)).cast("decimal(38,0)")
+    narrow = stream.select(key, total.alias("total"), *([F.col(time).alias("last_time")] if time else []))
+    last = [("last_time", "max")] if time else []
 
     def add_up(table: pa.Table) -> pa.Table:
-        summed = table.group_by(key).aggregate([([], "count_all"), ("total", "sum")])
-        summed = summed.select([key, "count_all", "total_sum"]).rename_columns(
-            [key, "n_rows", "total"]
-        )
+        summed = table.group_by(key).aggregate([([], "count_all"), ("total", "sum"), *last])
+        summed = summed.select([key, "count_all", "total_sum", *["last_time_max"][: len(last)]])
+        summed = summed.rename_columns([key, "n_rows", "total", *["last_time"][: len(last)]])
         return summed.set_column(2, "total", summed.column("total").cast(pa.decimal128(38, 0)))
 
-    return combine_batches(narrow, add_up, f"`{key}` {kind}, {_STATE}")
+    schema = f"`{key}` {kind}, {_STATE}" + (", last_time timestamp" if time else "")
+    return combine_batches(narrow, add_up, schema)
 
 
 def _added(n: int, total: Decimal, batches) -> tuple[int, Decimal]:
@@ -105,3 +108,77 @@ def running_totals_v2(stream: DataFrame, key: str, units: str) -> DataFrame:
             timeMode="None",
         )
     )
+
+
+class ExpiringProcessor(StatefulProcessor):
+    """Keeps (rows, total, time of the last row) per key, and one timer for when it will be idle."""
+
+    def __init__(self, key: str, idle_millis: int):
+        self.key = key
+        self.idle_millis = idle_millis
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("totals", f"{_STATE}, last_millis bigint")
+
+    def _due(self, last_millis: int) -> int:
+        return last_millis + self.idle_millis
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, total, last = self.state.get() if self.state.exists() else (0, Decimal(0), None)
+        if last is not None:
+            self.handle.deleteTimer(self._due(last))
+        frames = list(rows)  # a few rows: one for each Arrow batch before the shuffle
+        n, total = _added(n, total, frames)
+        times = [t for frame in frames for t in frame["last_time"] if not pd.isna(t)]
+        newest = [int(t.value // 1_000_000) for t in times] + ([] if last is None else [last])
+        # rows without any time are due at once
+        last = max(newest) if newest else max(0, timerValues.getCurrentWatermarkInMs()) - self.idle_millis
+        self.state.update((n, total, last))
+        self.handle.registerTimer(self._due(last))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            n, total, last = self.state.get()
+            self.state.clear()
+            yield pd.DataFrame(
+                {
+                    self.key: [key[0]],
+                    "n_rows": [n],
+                    "total": [total],
+                    "last_time": [pd.Timestamp(last, unit="ms")],
+                }
+            )
+
+    def close(self) -> None:
+        pass
+
+
+def expiring_totals(
+    stream: DataFrame, key: str, units: str, time: str, delay: str, idle_seconds: int
+) -> DataFrame:
+    """Per key the number of rows, the total and the time of the last row, once it has been idle.
+
+    A key is idle when the watermark (the newest time of the stream less ``delay``) has reached
+    its last row's time plus ``idle_seconds``. It then gives one row, and its state goes; rows that
+    come later begin a new total. So state grows with the keys that are active, not with all
+    there ever were. A batch's rows count before its timers are looked at, and the watermark of a
+    batch is that of the rows before it. Rows behind the watermark are added like others. Times
+    count in milliseconds; a key of rows without time is due with the next watermark.
+
+    Timers follow event time, so ``availableNow`` ends as soon as its input is used up, and results do
+    not depend on the clock. Needs the RocksDB state store.
+    """
+    marked = stream.withWatermark(time, delay)
+    kind = stream.schema[key].dataType.simpleString()
+    return (
+        _partials(marked, key, units, time)
+        .groupBy(key)
+        .transformWithStateInPandas(
+            statefulProcessor=ExpiringProcessor(key, int(idle_seconds) * 1000),
+            outputStructType=f"`{key}` {kind}, {_STATE}, last_time timestamp",
+            outputMode="append",
+            timeMode="EventTime",
+        )
+    )

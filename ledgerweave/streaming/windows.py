@@ -112,22 +112,41 @@ def match_stream(
     The two sides must share only the column ``key``. ``busy`` names keys with very many rows:
     their left rows are spread over ``salts`` join keys by their id, and each of their right
     rows is offered to all of these, so that their state and work are shared by several tasks.
-    Rows of other keys are held once. Give the smaller side as right. The list must stay the
-    same as long as the stream has state.
+    Rows of other keys are held once. Give the smaller side as right.
+
+    ``busy`` may be another list whenever the query is started again: a key that has become busy is
+    spread from then on, and what the state holds of it stays valid. Right rows that came before
+    are at the first join key only, so each left row of a busy key is held there a second time for
+    them alone. ``busykeys.learn`` keeps such a list. ``salts`` must stay the same.
     """
     is_busy = F.coalesce(F.col(key).isin(list(busy)), F.lit(False))
     salt = F.pmod(F.xxhash64(left_id), F.lit(salts)).cast("int")
-    spread = left.withColumn("_salt", F.when(is_busy, salt).otherwise(0))
+
+    def place(salt, kind: int):
+        return F.struct(salt.cast("int").alias("salt"), F.lit(kind).alias("kind"))
+
+    places = F.when(is_busy, F.array(place(salt, SPREAD), place(F.lit(0), FOR_EARLIER))).otherwise(
+        F.array(place(F.lit(0), PLAIN))
+    )
+    spread = left.withColumn("_place", F.explode(places))
     last = F.when(is_busy, F.lit(salts - 1)).otherwise(0)
-    offered = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
-    offered = offered.withColumnRenamed(key, "_right_key").withColumnRenamed("_salt", "_right_salt")
+    offered = right.withColumn("_right_spread", is_busy).withColumn(
+        "_right_salt", F.explode(F.sequence(F.lit(0), last))
+    )
+    offered = offered.withColumnRenamed(key, "_right_key")
+    kind = F.col("_place.kind")
     within = (
         (F.col(key) == F.col("_right_key"))
-        & (F.col("_salt") == F.col("_right_salt"))
+        & (F.col("_place.salt") == F.col("_right_salt"))
         & (F.col(right_time) > F.col(left_time))
         & (F.col(right_time) <= F.col(left_time) + F.expr(f"INTERVAL {horizon}"))
+        & ((kind == PLAIN) | ((kind == SPREAD) == F.col("_right_spread")))
     )
     joined = spread.withWatermark(left_time, delay).join(
         offered.withWatermark(right_time, delay), within
     )
-    return joined.drop("_salt", "_right_salt", "_right_key")
+    return joined.drop("_place", "_right_salt", "_right_key", "_right_spread")
+
+
+# How a left row is held: alone, or spread over join keys, or for right rows that were not spread.
+PLAIN, SPREAD, FOR_EARLIER = 0, 1, 2

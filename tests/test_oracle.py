@@ -9,7 +9,7 @@ import __spark_entry__ as entry_module
 import check
 from ledgerweave.plans import all_plans
 
-WITHOUT_SQL = {"distinct_parties_approx"}
+WITHOUT_SQL = set()
 JOINS = [
     "account_flow", "attach_messages", "unmatched", "matched", "account_edges", "state_diff",
     "state_as_of", "state_as_of_each_hot", "conservation_breaks", "assign_shard", "reachable",
