@@ -1,33 +1,41 @@
 """Nearest vectors by cosine, with randomly rotated one-bit codes.
 
 A vector of length 1 is padded to ``bits`` dimensions and rotated by a random matrix; the
-signs are its code. With x the code as a vector of length 1, o the rotated vector and q a
-rotated query, <x, q> / <x, o> estimates <o, q>. The error is below
-``sqrt((1 - <x, o>^2) / <x, o>^2) * EPSILON / sqrt(bits - 1)`` but for a small chance, so
-vectors whose upper bound is under a score already reached need no exact comparison. The
-other ones are reranked with their original numbers.
-
-Blocks of queries meet blocks of vectors in a grid; a cell is one task's work and yields a few
-rows for each query of the block. Nothing is drawn, fitted or sampled but the rotation, which
-follows from a seed, so all vectors are indexed and all are candidates.
+signs are its code, packed in words of 64 bits. With x the code as a vector of length 1, o the
+rotated vector and q a rotated query, <x, q> / <x, o> estimates <o, q>. The error is below
+``sqrt((1 - <x, o>^2) / <x, o>^2) * EPSILON / sqrt(bits - 1)`` but for a small chance.
+
+A query is rounded to ``LEVELS`` steps, of which each binary digit is a plane of bits. Its product
+with a code is then a sum of population counts of the code's words with the planes; what rounding
+can add to the error is added to the bound.
+
+Blocks of queries meet blocks of codes in a grid. Only codes and their <x, o> move there. A cell
+gives, for each query, the vectors whose upper bound reaches the lower bounds of enough others; of all
+cells' bounds the best decide once more. What is left is joined to its original vector and
+compared exactly. Of equal vectors those with the smallest ids stand for all, as no query can have
+others of them among its nearest: so a vector that a third of all rows share is a few rows. Nothing is drawn, fitted or sampled but the rotation, which follows from a seed,
+so all vectors are indexed and all are candidates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Iterable
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerweave.session import written
+from ledgerweave.session import shuffle_width, written
 
 BITS = 256
 EPSILON = 2.5
 SEED = 7
+PLANES = 4  # binary digits of a rounded query's numbers
 QUERY_BLOCK = 512
 VECTOR_BLOCK = 8192
 NEAREST = 5
@@ -44,121 +52,183 @@ def _length(vectors: np.ndarray) -> np.ndarray:
     return np.sqrt((vectors * vectors).sum(axis=1))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, which changes no cosine and no digit, so that their
+    largest numbers are about 1 and no square overflows or vanishes."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, initial=0))
+    return np.ldexp(vectors, -exponent[:, None])
+
+
 def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed signs of the rotated vectors, and the product of each with its code."""
+    """Signs of the rotated vectors in words of 64 bits, and the product of each with its code."""
     turned = (vectors / _length(vectors)[:, None]) @ turn
-    signs = turned > 0
     product = np.abs(turned).sum(axis=1) / np.sqrt(turn.shape[1])
-    return np.packbits(signs, axis=1), product
+    return np.packbits(turned > 0, axis=1).view(np.uint64), product
 
 
-def _usable(batch: pa.RecordBatch, dimension: int) -> tuple[np.ndarray, np.ndarray]:
-    """ids and vectors of the rows that take part."""
-    ids, rows = [], []
-    for i, row in zip(
-        batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True
-    ):
-        if i is None or row is None or len(row) != dimension or None in row:
-            continue
-        ids.append(i)
-        rows.append(row)
-    vectors = np.array(rows, dtype=np.float64).reshape(-1, dimension)
-    with np.errstate(over="ignore", invalid="ignore"):
-        length = _length(vectors)
-    good = np.isfinite(length) & (length > 0)
-    return np.array(ids, dtype=np.int64)[good], vectors[good]
+def planes(query: np.ndarray) -> tuple[np.ndarray, float, float, np.ndarray]:
+    """A rotated query rounded to whole steps: the binary digits of these as packed planes, the
+    least number, the step, and the rounded query."""
+    low, high = query.min(), query.max()
+    step = max((high - low) / (2**PLANES - 1), 1e-300)
+    whole = np.rint((query - low) / step).astype(np.uint8)
+    bits = np.stack([(whole >> j) & 1 for j in range(PLANES)])
+    return np.packbits(bits, axis=1).view(np.uint64), low, step, low + step * whole
 
 
-def _blocks(batches: Iterable[pa.RecordBatch], dimension: int, size: int, bits: int):
-    """Rows of packed ids, vectors, codes and products, of up to ``size`` vectors each."""
-    turn = rotation(dimension, bits)
-    ids, vectors = np.zeros(0, dtype=np.int64), np.zeros((0, dimension))
+def estimates(codes: np.ndarray, products: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated cosines of a rotated query of length 1 with all codes, and how far off they are."""
+    bits = len(query)
+    plane, low, step, rounded = planes(query)
+    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
+    weighted = np.zeros(len(codes), dtype=np.int64)
+    for j in range(PLANES):
+        weighted += np.bitwise_count(codes & plane[j]).sum(axis=1, dtype=np.int64) << j
+    # the code's numbers are 1 and -1 over the root of bits
+    inner = (2 * (step * weighted + low * ones) - rounded.sum()) / math.sqrt(bits)
+    spread = EPSILON / math.sqrt(bits - 1)
+    off = np.sqrt(np.maximum(0, 1 - products**2)) + math.sqrt(((query - rounded) ** 2).sum())
+    return inner / products, off / products * spread + 1e-9
+
+
+def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
+    """Vectors of one length without nulls."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
+
+
+def _marks(vectors: np.ndarray) -> list[int]:
+    """What tells apart vectors under one id."""
+    return [xxhash.xxh3_64_intdigest(np.ascontiguousarray(v).tobytes()) >> 1 for v in vectors]
+
 
-    def row(i, v):
-        codes, product = encode(v, turn)
-        packed = {"ids": i, "vectors": v, "codes": codes, "products": product}
-        return pa.RecordBatch.from_pydict(
-            {k: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for k, x in packed.items()}
+def _marked(batches: Iterable[pa.RecordBatch], dimension: int):
+    for batch in batches:
+        marks = _marks(_matrix(batch.column("vector"), dimension))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(marks, pa.int64())], names=[*batch.schema.names, "mark"]
         )
 
+
+def _smallest_ids(ids: np.ndarray, vectors: np.ndarray, most: int) -> np.ndarray:
+    """Places of the rows that are among the ``most`` smallest ids of their vector."""
+    rows = np.ascontiguousarray(vectors)
+    whole = rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel()
+    _, group = np.unique(whole, return_inverse=True)
+    order = np.lexsort((ids, group))
+    same = group[order]
+    first = np.searchsorted(same, same)
+    return np.sort(order[np.arange(len(order)) - first < most])
+
+
+def _fewer(batches: Iterable[pa.RecordBatch], dimension: int, most: int):
+    """Rows of a batch without those that equal vectors of smaller ids stand for. Repeated rows may
+    take places, so they go first."""
+    for batch in batches:
+        vectors = _matrix(batch.column("vector"), dimension)
+        ids = batch.column("id").to_numpy()
+        _, first = np.unique(np.stack([ids, np.array(_marks(vectors), dtype=np.int64)]), axis=1, return_index=True)
+        kept = _smallest_ids(ids[first], vectors[first], most)
+        yield batch.take(pa.array(first[kept]))
+
+
+def _block_rows(batches: Iterable[pa.RecordBatch], dimension: int, bits: int, ask: bool, copies: int):
+    """One row for each block (a task holds one): packed ids, marks, and codes and their products,
+    or of queries the rotated vectors. Equal rows count once, and go as they come; of equal vectors
+    the ``copies`` smallest ids stay in a block of codes."""
+    turn = rotation(dimension, bits)
+    seen: dict[tuple[int, int], None] = {}
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    block = 0
     for batch in batches:
-        i, v = _usable(batch, dimension)
-        ids, vectors = np.append(ids, i), np.append(vectors, v, axis=0)
-        while len(ids) >= size:
-            yield row(ids[:size], vectors[:size])
-            ids, vectors = ids[size:], vectors[size:]
-    if len(ids):
-        yield row(ids, vectors)
-
-
-def _rank(scores: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:most]
-
-
-def _cell(q_ids, queries, ids, vectors, codes, products, turn, most):
-    """(query, vector, score) of the nearest vectors of the block for each query of the block."""
-    bits = turn.shape[1]
-    x = np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1
-    margin = np.sqrt(np.maximum(0, 1 - products**2)) / products * EPSILON / np.sqrt(bits - 1)
-    length = _length(vectors)
-    found = []
-    q_length = _length(queries)
-    turned = ((queries / q_length[:, None]) @ turn / np.sqrt(bits)).astype(np.float32)
-    estimates = (x @ turned.T) / products[:, None].astype(np.float32)
-    for k, (q_id, query) in enumerate(zip(q_ids, queries, strict=True)):
-        other = ids != q_id
-        estimate = np.where(other, estimates[:, k], -np.inf)
-        enough = min(most, int(other.sum()))
-        if not enough:
+        if not batch.num_rows:
             continue
+        block = batch.column("block")[0].as_py()
+        vectors = _matrix(batch.column("vector"), dimension)
+        ids = batch.column("id").to_pylist()
+        new = []
+        for i, key in enumerate(zip(ids, _marks(vectors), strict=True)):
+            if key not in seen:
+                seen[key] = None
+                new.append(i)
+        vectors = scaled(vectors[new])
+        if ask:
+            parts.append(((vectors / _length(vectors)[:, None]) @ turn, np.zeros(len(new))))
+        else:
+            parts.append(encode(vectors, turn))
+    if not seen:
+        return
+    first, second = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ids, marks = (np.array([k[i] for k in seen], dtype=np.int64) for i in (0, 1))
+    kept = np.arange(len(ids)) if ask else _smallest_ids(ids, marks[:, None], copies)
+    columns = {"ids": ids[kept], "marks": marks[kept], "codes": first[kept], "products": second[kept]}
+    yield pa.RecordBatch.from_pydict(
+        {"number": pa.array([block], pa.int32())}
+        | {k: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for k, x in columns.items()}
+    )
 
-        def exact(at, query=query, k=k):
-            return (vectors[at] * query).sum(axis=1) / (length[at] * q_length[k])
 
-        first = np.argpartition(-estimate, enough - 1)[:enough]
-        reached = exact(first).min()  # that many vectors score at least this
-        at = np.flatnonzero(other & (estimate + margin >= reached - 1e-9))
-        at = np.union1d(at, first)
-        scores = exact(at)
-        best = _rank(scores, ids[at], most)
-        found.append((np.full(len(best), q_id), ids[at][best], scores[best]))
-    return found
+def _least_of_best(low: np.ndarray, most: int) -> float:
+    return -np.inf if len(low) < most else np.partition(low, len(low) - most)[len(low) - most]
 
 
-def _search(batches: Iterable[pa.RecordBatch], dimension: int, bits: int, most: int):
-    turn = rotation(dimension, bits)
+def _cells(batches: Iterable[pa.RecordBatch], bits: int, most: int):
+    """For each query of a cell the vectors that may be among its nearest, with their bounds."""
 
-    def numbers(batch, name, kind):
-        return np.frombuffer(batch.column(name)[0].as_py(), dtype=kind)
+    def numbers(row, name, kind):
+        return np.frombuffer(row.column(name)[0].as_py(), dtype=kind)
 
     for many in batches:
         for i in range(many.num_rows):
             cell = many.slice(i, 1)
-            ids = numbers(cell, "ids", np.int64)
-            found = _cell(
-                numbers(cell, "q_ids", np.int64),
-                numbers(cell, "q_vectors", np.float64).reshape(-1, dimension),
-                ids,
-                numbers(cell, "vectors", np.float64).reshape(-1, dimension),
-                numbers(cell, "codes", np.uint8).reshape(len(ids), -1),
-                numbers(cell, "products", np.float64),
-                turn,
-                most,
-            )
+            ids, marks = numbers(cell, "ids", np.int64), numbers(cell, "marks", np.int64)
+            codes = numbers(cell, "codes", np.uint64).reshape(len(ids), -1)
+            products = numbers(cell, "products", np.float64)
+            q_ids, q_marks = numbers(cell, "q_ids", np.int64), numbers(cell, "q_marks", np.int64)
+            turned = numbers(cell, "q_codes", np.float64).reshape(len(q_ids), bits)
+            found = []
+            for q_id, q_mark, query in zip(q_ids, q_marks, turned, strict=True):
+                estimate, off = estimates(codes, products, query)
+                at = np.flatnonzero(ids != q_id)
+                low, high = (estimate - off)[at], (estimate + off)[at]
+                keep = high >= _least_of_best(low, most)
+                at = at[keep]
+                found.append((np.full(len(at), q_id), np.full(len(at), q_mark), ids[at], marks[at],
+                              low[keep], high[keep]))
             if found:
-                q, v, s = (np.concatenate(part) for part in zip(*found, strict=True))
-                yield pa.RecordBatch.from_pydict(
-                    {"query_id": pa.array(q), "vec_id": pa.array(v), "score": pa.array(s)}
-                )
+                names = ("q", "q_mark", "id", "mark", "low", "high")
+                columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+                table = pa.table(dict(zip(names, columns, strict=True)))
+                yield from table.to_batches(max_chunksize=100_000)
+
+
+def _compared(batches: Iterable[pa.RecordBatch], dimension: int):
+    for batch in batches:
+        one = scaled(_matrix(batch.column("q_vector"), dimension))
+        two = scaled(_matrix(batch.column("vector"), dimension))
+        score = (one * two).sum(axis=1) / (_length(one) * _length(two))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("q"), batch.column("q_mark"), batch.column("id"), pa.array(score)],
+            names=["q", "q_mark", "id", "score"],
+        )
+
+
+def _usable(table: DataFrame, id_column: str, vector: str) -> DataFrame:
+    """``id, vector`` of the rows that take part, whatever their length."""
+    return (
+        table.select(
+            F.col(f"`{id_column}`").cast("long").alias("id"),
+            F.col(f"`{vector}`").cast("array<double>").alias("vector"),
+        )
+        .filter("id is not null and size(vector) > 0")
+        .filter(F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))  # NaN is above
+        .filter(F.exists("vector", lambda x: x != 0))
+    )
 
 
 def _dimension(rows: DataFrame) -> int:
-    """The length that most of the rows have which could take part, 0 if there are none."""
-    square = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
-    usable = F.col("id").isNotNull() & (square > 0) & (square < float("inf"))  # NaN is above
+    """The length that most of the rows have, 0 if there are none."""
     common = (
-        rows.filter(usable)
-        .groupBy(F.size("vector").alias("length"))
+        rows.groupBy(F.size("vector").alias("length"))
         .agg(F.count(F.lit(1)).alias("rows"))
         .orderBy(F.desc("rows"), F.desc("length"))
         .first()
@@ -178,55 +248,81 @@ def nearest(
 
     Both tables have a whole-number id and an array of numbers. Equal scores go to the
     smaller id; rows with the query's own id are never its neighbours. Rows that are equal in
-    id and vector count once. Rows take no part if the id or vector is null, a component is
-    null or not finite, the vector is zero, or its length is not the one that most of the
-    other ``vectors`` have (of equally many, the longer).
-    An empty table or no partner gives no rows. Other columns are not read.
+    id and vector count once; of different vectors under one query id the nearest of any count.
+    Rows take no part if the id or vector is null, a component is null or not finite, the vector is
+    zero, or its length is not the one that most of the other ``vectors`` have (of equally many, the
+    longer). Components may be as large or small as doubles are. An empty table or no partner gives
+    no rows. Other columns are not read.
     """
-    columns = [F.col(f"`{id_column}`").cast("long").alias("id"),
-               F.col(f"`{vector}`").cast("array<double>").alias("vector")]
-    all_rows = vectors.select(*columns).distinct()
-    dimension = _dimension(vectors.select(*columns))
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    if dimension <= 0:
+    every = _usable(vectors, id_column, vector)
+    dimension = _dimension(every)
+    if not dimension:
         return spark.createDataFrame([], schema)
-    bits = max(bits, -(-dimension // 8) * 8)
-    packed = "ids binary, vectors binary, codes binary, products binary"
-
-    def blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-        made = rows.mapInArrow(partial(_blocks, dimension=dimension, size=size, bits=bits), packed)
-        table, _ = written(made.withColumn("block", F.monotonically_increasing_id()), name)
-        numbered = table.select("block").withColumn(  # one row for each block of vectors
-            "number", F.row_number().over(Window.orderBy("block")) - 1
+    every = every.filter(F.size("vector") == dimension)
+    asked = _usable(queries, id_column, vector).filter(F.size("vector") == dimension)
+    bits = 64 * math.ceil(max(bits, dimension) / 64)
+
+    def blocks(rows: DataFrame, size: int, name: str, ask: bool) -> tuple[DataFrame, int]:
+        total = rows.count()
+        n = max(math.ceil(total / size), min(12, shuffle_width(spark), math.ceil(total / 64)), 1)
+        if not ask:  # combined where the rows lie
+            call = partial(_fewer, dimension=dimension, most=most + 1)
+            rows = rows.mapInArrow(call, "id long, vector array<double>")
+        by = ["id", "vector"] if ask else ["vector"]
+        dealt = rows.withColumn("block", F.pmod(F.xxhash64(*by), F.lit(n)).cast("int"))
+        made = dealt.repartitionById(n, "block").mapInArrow(
+            partial(_block_rows, dimension=dimension, bits=bits, ask=ask, copies=most + 1),
+            "number int, ids binary, marks binary, codes binary, products binary",
         )
-        numbered, _ = written(numbered, name)
-        return table.join(numbered, "block").drop("block"), numbered.count()
-
-    asked = queries.select(*columns).distinct()
-    vector_blocks, n_vectors = blocks(all_rows, VECTOR_BLOCK, "vector-blocks")
-    query_blocks, n_queries = blocks(asked, QUERY_BLOCK, "query-blocks")
-    if not n_vectors or not n_queries:
-        return spark.createDataFrame([], schema)
-    rows = vector_blocks.withColumnRenamed("number", "v").withColumn(
-        "q", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))
+        return written(made, name)[0], n
+
+    codes, n_codes = blocks(every, VECTOR_BLOCK, "code-blocks", False)
+    rotated, n_queries = blocks(asked, QUERY_BLOCK, "query-blocks", True)
+    columns = rotated.select(
+        *[F.col(c).alias(f"q_{c}") for c in ("ids", "marks", "codes")],
+        F.col("number").alias("b"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_codes - 1))).alias("a"),
+    )
+    rows = codes.withColumnRenamed("number", "a").withColumn(
+        "b", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))
+    )
+    cells = rows.join(columns.hint("shuffle_merge"), ["a", "b"]).drop("a", "b")
+    bounded, _ = written(
+        cells.mapInArrow(
+            partial(_cells, bits=bits, most=most),
+            "q long, q_mark long, id long, mark long, low double, high double",
+        ),
+        "bounds",
+    )
+    # the bounds of all cells together leave fewer than those of each
+    query = ["q", "q_mark"]
+    by_low = Window.partitionBy(*query).orderBy(F.desc("low"))
+    reached = (
+        bounded.withColumn("place", F.row_number().over(by_low))
+        .filter(F.col("place") <= most)
+        .groupBy(*query)
+        .agg(F.when(F.count(F.lit(1)) == most, F.min("low")).alias("reached"))
     )
-    columns = query_blocks.select(
-        F.col("ids").alias("q_ids"),
-        F.col("vectors").alias("q_vectors"),
-        F.col("number").alias("q"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_vectors - 1))).alias("v"),
+    near = bounded.join(reached, query).filter("reached is null or high >= reached")
+    call = partial(_marked, dimension=dimension)
+    kinds = "id long, vector array<double>, mark long"
+    originals = every.mapInArrow(call, kinds).dropDuplicates(["id", "mark"])
+    questions = asked.mapInArrow(call, kinds).dropDuplicates(["id", "mark"]).select(
+        F.col("id").alias("q"), F.col("mark").alias("q_mark"), F.col("vector").alias("q_vector")
     )
-    cells = rows.join(columns.hint("shuffle_merge"), ["q", "v"]).drop("q", "v")
-    found = cells.mapInArrow(
-        partial(_search, dimension=dimension, bits=bits, most=most),
-        "query_id long, vec_id long, score double",
+    compared = (
+        near.select(*query, "id", "mark")
+        .join(originals, ["id", "mark"])
+        .join(questions, query)
+        .mapInArrow(partial(_compared, dimension=dimension), "q long, q_mark long, id long, score double")
     )
-    # copies of a vector under one id come from several blocks
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     return (
-        found.distinct()
+        compared.select("q", "id", "score")
+        .distinct()
         .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= most)
-        .select("query_id", "rank", "vec_id", "score")
+        .select(F.col("q").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
     )

@@ -39,6 +39,79 @@ _NONE = np.iinfo(np.int32).max
 
 _words = regex.compile(PATTERN)
 _white = regex.compile(rf"[{WHITE}]+")
+_high = regex.compile("[^\\x00-\u04ff]")  # below, all Unicode tables agree
+
+
+def _ranges(characters: Iterable[str]) -> str:
+    """A set of characters as the inside of a regular expression's class."""
+    points = sorted(map(ord, characters))
+    out, begin = [], 0
+    for i in range(1, len(points) + 1):
+        if i == len(points) or points[i] != points[i - 1] + 1:
+            out.append(f"\\U{points[begin]:08x}-\\U{points[i - 1]:08x}")
+            begin = i
+    return "".join(out)
+
+
+class Tables:
+    """Where the library's Unicode tables differ from those of ``regex`` and ``unicodedata``.
+
+    They are of other versions of Unicode, so that some characters are letters or numbers, or have
+    a lower case, in one only. The tables are asked for every character once.
+    """
+
+    def __init__(self) -> None:
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        kinds = (r"\p{L}", r"\p{N}")
+        cut = {kind: pre_tokenizers.Split(Regex(rf"[{kind}]+"), "removed") for kind in kinds}
+        lowered = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        more: dict[str, list[str]] = {kind: [] for kind in kinds}  # of the kind there only
+        less: dict[str, list[str]] = {kind: [] for kind in kinds}  # here only
+        self.written: dict[str, str] = {}
+        for begin in range(0x500, 0x110000, 0x4000):  # a part at a time, to hold little
+            part = [chr(c) for c in range(begin, min(begin + 0x4000, 0x110000)) if not 0xD800 <= c < 0xE000]
+            whole = "".join(part)
+            disputed: set[str] = set()
+            for kind in kinds:
+                outside = set("".join(piece for piece, _ in cut[kind].pre_tokenize_str(whole)))
+                ours = set(regex.findall(kind, whole))
+                more[kind] += [c for c in part if c not in outside and c not in ours]
+                less[kind] += [c for c in part if c in outside and c in ours]
+                disputed.update(more[kind][-len(part) :], less[kind][-len(part) :])
+            theirs = lowered.normalize_str("\n".join(part)).split("\n")
+            for c, t in zip(part, theirs, strict=True):
+                if c in disputed or _plain(c) != t:
+                    self.written[c] = t
+        classes = {}
+        for kind in kinds:
+            own = rf"[{kind}{_ranges(more[kind])}]"
+            classes[kind] = rf"[{own}--[{_ranges(less[kind])}]]" if less[kind] else own
+        disputed = set(self.written)
+        letter, number = classes[r"\p{L}"], classes[r"\p{N}"]
+        marks = "'s|'t|'re|'ve|'m|'ll|'d"
+        other = rf"[[^{WHITE}]--{letter}--{number}]"
+        self.words = regex.compile(rf"(?V1){marks}|{letter}+|{number}|{other}+")
+        self.disputed = regex.compile(rf"[{_ranges(disputed)}]") if disputed else regex.compile(r"(?!)")
+
+    def split(self, text: str) -> list[str]:
+        """The words of a text that holds disputed characters."""
+        out, at = [], 0
+        for found in self.disputed.finditer(text):
+            out += [_plain(text[at : found.start()]), self.written[found.group()]]
+            at = found.end()
+        out.append(_plain(text[at:]))
+        return self.words.findall(_white.sub(" ", "".join(out)))
+
+
+@lru_cache(maxsize=1)
+def _tables() -> Tables:
+    return Tables()
+
+
+def _plain(text: str) -> str:
+    # a capital sigma is lowered alike wherever it stands
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
 def default_path() -> str:
@@ -97,10 +170,11 @@ class Codec:
 
     @staticmethod
     def _split(text: str) -> list[str]:
-        if not text.isascii():
-            # a capital sigma is lowered alike wherever it stands
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return _words.findall(_white.sub(" ", text).lower())
+        if text.isascii():
+            return _words.findall(_white.sub(" ", text).lower())
+        if _high.search(text) and _tables().disputed.search(text):
+            return _tables().split(text)
+        return _words.findall(_white.sub(" ", _plain(text)))
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and where each word's ids end."""

@@ -10,7 +10,6 @@ records as packed binary. A posting of some bytes so costs little more than thes
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterable, Iterator
 from functools import partial
 
@@ -22,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.text import CHUNK_BYTES, as_bytes, mix
-from ledgerweave.session import scratch_path, shuffle_width, written
+from ledgerweave.session import in_buckets, shuffle_width, written
 
 KEY = ["k1", "k2"]
 SHARD_BYTES = 48_000_000  # text whose records one shard receives
+SHARDS_PER_BUCKET = 4  # reports are much smaller than records
 
 
 def text_key(text: bytes) -> tuple[int, int]:
@@ -94,25 +94,18 @@ def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     Copies meet within a batch first, so a text that fills a third of all rows sends one row
     for each batch. The table is bucketed by the key.
     """
-    spark = docs.sparkSession
-    width = shuffle_width(spark)
-    name = f"distinct_texts_{uuid.uuid4().hex}"
-    (
+    texts = (
         docs.select(F.col(f"`{text}`").alias("text"))
         .mapInArrow(_packed_texts, "k1 long, k2 long, copies long, n_bytes long, z binary")
-        .repartition(width, *KEY)
+        .repartition(shuffle_width(docs.sparkSession), *KEY)
         .groupBy(*KEY)
         .agg(
             F.sum("copies").alias("copies"),
             F.first("n_bytes").alias("n_bytes"),
             F.first("z").alias("z"),
         )
-        .write.option("path", scratch_path(spark, "texts"))
-        .option("compression", "none")
-        .bucketBy(width, *KEY)
-        .saveAsTable(name)
     )
-    return spark.table(name)
+    return in_buckets(texts, KEY, "distinct-texts", compression="none")[0]
 
 
 def keyed(docs: DataFrame, text: str = "text", *columns: str) -> DataFrame:
@@ -281,13 +274,16 @@ REPORTS = "array<struct<shard:int,bits:binary>>"
 
 
 def round_trip(sent: DataFrame, shards: int, meet, name: str) -> DataFrame:
-    """Table ``k1, k2, name``: what all shards report on the items that they were ``sent``."""
-    buckets = shuffle_width(sent.sparkSession)
-    reports = sent.repartition(shards, "shard").mapInArrow(
+    """Table ``k1, k2, name``: what all shards report on the items that they were ``sent``.
+
+    A task has one shard, or one bucket of reports. The number of both follows the bytes of text.
+    """
+    buckets = max(shuffle_width(sent.sparkSession), math.ceil(shards / SHARDS_PER_BUCKET))
+    reports = sent.repartitionById(shards, "shard").mapInArrow(
         partial(meet, buckets=buckets),
         "bucket int, k1 binary, k2 binary, shard binary, size binary, bits binary",
     )
-    merged = reports.repartition(buckets, "bucket").mapInArrow(
+    merged = reports.repartitionById(buckets, "bucket").mapInArrow(
         partial(_merged, name=name), f"k1 long, k2 long, {name} {REPORTS}"
     )
     return written(merged, name)[0]

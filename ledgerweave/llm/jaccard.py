@@ -42,7 +42,7 @@ from pyspark.sql.window import Window
 from ledgerweave.llm import deal
 from ledgerweave.llm.text import Words, mix, rolling, texts_of, whole_runs
 from ledgerweave.operators.graph import components
-from ledgerweave.session import scratch_path, shuffle_width, written
+from ledgerweave.session import in_buckets, shuffle_width, written
 
 WIDTH = 5
 PERCENT = 80
@@ -324,8 +324,7 @@ class _Comparer:
     def __init__(self, docs: DataFrame, wanted: DataFrame, width: int, percent: int, seed: int):
         spark = docs.sparkSession
         self.width, self.percent = shuffle_width(spark), percent
-        name = scratch_path(spark, "sets").rsplit("/", 1)[1].replace("-", "_")
-        (
+        tokens = (
             docs.mapInArrow(partial(_packed, width=width, seed=seed), "s long, z binary")
             .join(wanted, "s", "left_semi")
             .repartition(self.width, "s")
@@ -333,12 +332,8 @@ class _Comparer:
             .agg(F.first("z").alias("z"))
             .mapInArrow(partial(_tokens, width=width, seed=seed), "s long, tokens binary")
             .repartition(self.width, "s")
-            .write.option("path", scratch_path(spark, "sets"))
-            .option("compression", "none")
-            .bucketBy(self.width, "s")
-            .saveAsTable(name)
         )
-        self.tokens = spark.table(name)
+        self.tokens, _ = in_buckets(tokens, ["s"], "sets", compression="none")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar, written. Many sets may share one b."""
@@ -452,7 +447,7 @@ def _set_links(docs: DataFrame, width: int, percent: int, seed: int, n_bytes: in
             partial(_send, width=width, percent=percent, seed=seed, shards=shards),
             deal.dealt_schema("s", "n", "signature"),
         )
-        .repartition(shards, "shard")
+        .repartitionById(shards, "shard")  # one shard a task
         .mapInArrow(_meet, "s long, n int, scheme byte, spare int, signature long, sets long")
     )
     rank = F.row_number().over(

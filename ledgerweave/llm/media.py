@@ -7,20 +7,22 @@ says where the directory is. The source
 * plans byte ranges of about ``partition_bytes`` of each file from the list of files alone; a
   task reads its file's directory and takes the members that begin in its range,
 * streams the payloads of a partition as Arrow batches of bounded size, and
-* reads a member again, by its own offset, if reading it fails or its checksum is wrong;
-  other members of the partition are not read again.
+* reads a member again, by its own offset and from a file opened anew, if reading it fails or its
+  checksum is wrong; other members of the partition are not read again.
 
 Members are grey PNG images 64 samples wide: a lossless form of 8-bit samples.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import struct
 import time
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial
 
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -45,6 +48,7 @@ SUFFIX = ".media"
 PARTITION_BYTES = 8_000_000
 BATCH_BYTES = 4_000_000
 ATTEMPTS = 4
+RENAMES = 16  # files given their final names at once
 WIDTH = 64
 PNG = b"\x89PNG\r\n\x1a\n"
 LENGTH = b"lnTh"  # by its letters: private, may be skipped and copied
@@ -140,10 +144,29 @@ def read_directory(store: fs.FileSystem, file: str, size: int) -> np.ndarray:
     return np.frombuffer(raw, dtype=DIRECTORY)
 
 
+class OpenFile:
+    """A file for reading, opened when it is first needed and again after ``renew``."""
+
+    def __init__(self, open_it: Callable):
+        self.open_it, self.file = open_it, None
+
+    def read_at(self, length: int, offset: int) -> bytes:
+        if self.file is None:
+            self.file = self.open_it()
+        return self.file.read_at(length, offset)
+
+    def renew(self) -> None:
+        """Let go of the file: its connection may be lost."""
+        lost, self.file = self.file, None
+        if lost is not None:
+            with contextlib.suppress(OSError):
+                lost.close()
+
+
 def read_member(
     source, offset: int, length: int, crc: int, attempts: int = ATTEMPTS, wait: float = 0.05
 ) -> bytes:
-    """One member by its offset, tried again on its own if it fails."""
+    """One member by its offset, tried again on its own, with the file opened anew, if it fails."""
     for attempt in range(attempts):
         try:
             payload = source.read_at(length, offset)
@@ -152,6 +175,7 @@ def read_member(
             problem: Exception = ValueError(f"wrong checksum at offset {offset}")
         except OSError as error:
             problem = error
+        source.renew()
         if attempt + 1 < attempts:
             time.sleep(wait * 2**attempt)
     raise problem
@@ -190,7 +214,8 @@ class ArchiveReader(DataSourceReader):
         first, last = np.searchsorted(members["offset"], [partition.begin, partition.end])
         name = partition.file.rsplit("/", 1)[-1]
         rows, held = [], 0
-        with store.open_input_file(partition.file) as source:
+        source = OpenFile(partial(store.open_input_file, partition.file))
+        try:
             for number in range(first, last):
                 m = members[number]
                 payload = read_member(source, int(m["offset"]), int(m["length"]), int(m["crc"]))
@@ -199,6 +224,8 @@ class ArchiveReader(DataSourceReader):
                 if held >= BATCH_BYTES:
                     yield self._batch(name, rows)
                     rows, held = [], 0
+        finally:
+            source.renew()
         if rows:
             yield self._batch(name, rows)
 
@@ -233,6 +260,19 @@ class ArchiveWriter(DataSourceArrowWriter):
         store, place = _store(self.path)
         store.create_dir(place, recursive=True)
         file = f"{place}/{uuid.uuid4().hex}.part"
+        try:
+            whole = self._filled(store, file, iterator)
+        except BaseException:
+            with contextlib.suppress(OSError):
+                store.delete_file(file)
+            raise
+        if not whole:
+            store.delete_file(file)
+            return Written(None)
+        return Written(file)
+
+    @staticmethod
+    def _filled(store: fs.FileSystem, file: str, iterator: Iterator[pa.RecordBatch]) -> bool:
         directory, offset = [], 0
         with store.open_output_stream(file) as out:
             for batch in iterator:
@@ -245,16 +285,13 @@ class ArchiveWriter(DataSourceArrowWriter):
                     offset += len(payload)
             raw = np.array(directory, dtype=DIRECTORY).tobytes()
             out.write(raw + TRAILER.pack(offset, len(directory), zlib.crc32(raw), MARK))
-        if not directory:
-            store.delete_file(file)
-            return Written(None)
-        return Written(file)
+        return bool(directory)
 
     def commit(self, messages: list[Written | None]) -> None:
         store, _ = _store(self.path)
-        for message in messages:
-            if message and message.file:
-                store.move(message.file, message.file.removesuffix(".part") + SUFFIX)
+        files = [m.file for m in messages if m and m.file]
+        with ThreadPoolExecutor(RENAMES) as pool:
+            list(pool.map(lambda f: store.move(f, f.removesuffix(".part") + SUFFIX), files))
 
     def abort(self, messages: list[Written | None]) -> None:
         store, _ = _store(self.path)
@@ -336,7 +373,13 @@ def register(spark: SparkSession) -> None:
 
 
 def store_texts(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text") -> None:
-    """Write each row's text (null: empty) as a member of the archives in ``path``."""
+    """Write each row's text (null: empty) as a member of the archives in ``path``.
+
+    Ids are whole numbers or null; others raise TypeError.
+    """
+    kind = docs.schema[id_column].dataType
+    if not isinstance(kind, T.IntegralType | T.NullType):
+        raise TypeError(f"ids must be whole numbers, {id_column} is {kind.simpleString()}")
     register(docs.sparkSession)
     (
         docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
@@ -366,8 +409,8 @@ def describe(media: DataFrame, id_column: str = "doc_id") -> DataFrame:
 def media_column(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Store every text as media in a scratch folder, read it back and describe it.
 
-    One row for each row of ``docs``. Null and empty texts are one line of zeros. Ids may be
-    null or repeated; other columns are not read.
+    One row for each row of ``docs``. Null and empty texts are one line of zeros. Ids are whole
+    numbers (else TypeError), and may be null or repeated; other columns are not read.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "media")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerweave.llm import (
-    anchors, ann, bpe, deal, jaccard, lines, media, mixing, quality, suffixes, tokens,
+    anchors, ann, bpe, deal, hardneg, jaccard, lines, media, mixing, quality, spelling, suffixes,
+    tokens, toxicity,
 )
 from ledgerweave.session import apply_runtime_defaults, written
 
@@ -221,6 +222,57 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of documents, learned from labels outside the fold that is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id") != 0)
+    scored = toxicity.score_toxicity(docs, labels, keep=["doc_id"])
+    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the positives of each embedding whose id is divisible by 100; every
+    seventh label is moved on first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hardneg.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor({hardneg.SCALE} * x)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id AS other, a.label = v.label AS same,
+         CAST(list_dot_product(a.e, v.e) AS BIGINT) AS score
+  FROM v a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id
+),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= {hardneg.POSITIVES}
+),
+ranked AS (
+  SELECT p.anchor_id, p.positive_id, s.other AS negative_id, p.positive_score,
+         s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id
+                            ORDER BY s.score DESC, s.other) AS rank
+  FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same
+   AND 100 * s.score BETWEEN {hardneg.LOW} * p.positive_score AND {hardneg.HIGH} * p.positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= {hardneg.NEGATIVES}
+"""
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents with their near words; every 31st run or so has a slip."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), slips=31)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -232,7 +284,8 @@ QUERIES = {
     for query in (
         op1_suffix_array_dedup, op2_soft_mixing, op3_media_columns, op4_quality_classifier,
         op5_substring_dedup, op6_line_dedup, op7_nearest_vectors, op8_jaccard_join,
-        op9_token_counts, op10_bpe, pipeline,
+        op9_token_counts, op10_bpe, op11_toxicity, op12_hard_negatives, op13_spelling_variants,
+        pipeline,
     )
 }
 
@@ -241,4 +294,5 @@ SQL = {
     "op6_line_dedup": OP6_SQL,
     "op7_nearest_vectors": OP7_SQL,
     "op8_jaccard_join": OP8_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }

@@ -248,6 +248,10 @@ class Flaky:
 
     def __init__(self, content, offset, wrongs):
         self.content, self.offset, self.wrongs, self.reads = content, offset, wrongs, []
+        self.renewed = 0
+
+    def renew(self):
+        self.renewed += 1
 
     def read_at(self, length, offset):
         self.reads.append(offset)
@@ -266,11 +270,42 @@ def test_members_are_retried_alone():
     for part in parts:
         assert media.read_member(flaky, at, len(part), zlib.crc32(part), wait=0) == part
         at += len(part)
-    assert flaky.reads == [0, 5, 5, 5, 11]
+    assert flaky.reads == [0, 5, 5, 5, 11] and flaky.renewed == 2
     with pytest.raises(ValueError):
         media.read_member(Flaky(b"abc", 0, ["lie"] * 9), 0, 3, zlib.crc32(b"abc"), wait=0)
 
 
+def test_a_lost_connection_is_opened_again():
+    opened = []
+
+    class Connection:
+        def __init__(self):
+            self.alive = True
+            opened.append(self)
+
+        def read_at(self, length, offset):
+            if len(opened) == 1 and offset == 3:
+                self.alive = False
+            if not self.alive:
+                raise OSError("lost")
+            return b"onetwo"[offset : offset + length]
+
+        def close(self):
+            raise OSError("already lost")
+
+    source = media.OpenFile(Connection)
+    assert media.read_member(source, 0, 3, zlib.crc32(b"one"), wait=0) == b"one"
+    assert media.read_member(source, 3, 3, zlib.crc32(b"two"), wait=0) == b"two"
+    assert media.read_member(source, 0, 3, zlib.crc32(b"one"), wait=0) == b"one"
+    assert len(opened) == 2
+    source.renew()
+
+
+def test_ids_of_archives_are_whole_numbers(spark, folder):
+    with pytest.raises(TypeError, match="whole numbers"):
+        media.store_texts(spark.createDataFrame([("a", "b")], "doc_id string, text string"), folder)
+
+
 def test_damage_is_found(folder):
     image = bytearray(media.to_png(media.padded(b"some text"), 9))
     assert media.from_png(bytes(image)) == (media.padded(b"some text"), 9)
@@ -451,11 +486,39 @@ def test_bounds_hold_mostly():
     vectors, query = rng.standard_normal((5000, 64)), rng.standard_normal(64)
     turn = ann.rotation(64, 256)
     codes, product = ann.encode(vectors, turn)
-    x = np.unpackbits(codes, axis=1) * 2.0 - 1
     true = vectors @ query / np.sqrt((vectors**2).sum(axis=1)) / np.sqrt((query**2).sum())
-    estimate = x @ (query / np.sqrt((query**2).sum()) @ turn) / 16 / product
-    margin = np.sqrt(1 - product**2) / product * ann.EPSILON / np.sqrt(255)
-    assert (np.abs(true - estimate) <= margin).mean() > 0.98
+    estimate, off = ann.estimates(codes, product, query / np.sqrt((query**2).sum()) @ turn)
+    assert (np.abs(true - estimate) <= off).mean() > 0.98 and off.max() < 0.3
+
+
+def test_population_counts_are_products():
+    rng = np.random.default_rng(2)
+    codes, products = ann.encode(rng.standard_normal((50, 20)), ann.rotation(20, 128))
+    query = rng.standard_normal(128)
+    rounded = ann.planes(query)[3]
+    signs = np.unpackbits(codes.view(np.uint8), axis=1) * 2.0 - 1
+    wanted = signs @ rounded / np.sqrt(128) / products
+    assert np.allclose(ann.estimates(codes, products, query)[0], wanted)
+    assert np.abs(rounded - query).max() <= (query.max() - query.min()) / 30 + 1e-12
+
+
+def test_vectors_of_any_size_and_many_copies(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((60, 6))
+    rows = [(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(base, [1e-300, 1.0, 1e200] * 20, strict=True))]
+    rows += [(1000 + i, [5.0, 1, 2, 3, 4, 5]) for i in range(300)] + [(1007, [5.0, 1, 2, 3, 4, 5])] * 40
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    found = {}
+    for r in ann.nearest(df, df.filter("vec_id < 20 or vec_id in (1000, 1002, 1299)")).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in (1000, 1002, 1299):
+        want = [i for i in range(1000, 1007) if i != q][:5]
+        assert [v for _, v, _ in sorted(found[q])] == want and all(s == pytest.approx(1) for *_, s in found[q])
+    unit = {i: np.array(v) / np.abs(v).max() for i, v in rows}
+    unit = {i: v / np.sqrt((v * v).sum()) for i, v in unit.items()}
+    for q in range(20):
+        best = sorted((i for i in unit if i != q), key=lambda i: (-round(float(unit[i] @ unit[q]), 12), i))[:5]
+        assert [v for _, v, _ in sorted(found[q])] == best
 
 
 # 8: near duplicates

@@ -16,7 +16,7 @@ MEDIUM = "/root/testdata/sf0.01"
 def test_all_queries_are_registered():
     assert set(QUERIES) <= set(entry_module.queries())
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES if name != "pipeline")
-    assert numbers == list(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in QUERIES
 
 
 @pytest.mark.parametrize("name", list(SQL))
@@ -28,8 +28,10 @@ def test_equals_sql(spark, name):
 def test_runs_over_whole_tables(spark, name):
     found = QUERIES[name](spark, SMALL)
     documents = spark.read.parquet(f"{SMALL}/documents.parquet")
-    if name != "pipeline":
+    if "doc_id" in found.columns and name != "pipeline":
         assert rows_of(found) == rows_of(documents)
+    else:
+        assert found.count() > 0
 
 
 def rows_of(df):
