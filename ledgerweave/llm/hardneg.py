@@ -5,7 +5,8 @@ segment, means a and b and deviations c and d, the segment's part of the inner p
 vectors is within ``L * a * b`` plus or minus ``L * c * d``, as what is left of two vectors without
 their means has at most the product of its lengths. The sums over all segments bound the score.
 A few segments come first; vectors that these bounds do not settle get finer ones, and only
-what is left then is multiplied out.
+what is left then is multiplied out. At each level the rows whose bounds lie highest are multiplied
+out at once, and what they reach rules out rows whose upper bound is less.
 
 Rows are dealt into blocks by a hash; blocks of anchors meet blocks of rows in a grid, a cell being
 one task's work that yields a few rows for each anchor. The grid is passed twice: for each anchor's
@@ -31,7 +32,7 @@ from ledgerweave.session import shuffle_width, written
 SCALE = 256
 POSITIVES, NEGATIVES = 5, 10
 LOW, HIGH = 30, 90  # percent of the positive's score between which a negative's lies
-LEVELS = (2, 8)  # segments, coarse to fine
+LEVELS = (8, 32)  # segments, coarse to fine
 ROW_BLOCK, ANCHOR_BLOCK = 8192, 1024
 _EXACT = 2**53  # whole numbers up to which double arithmetic is exact
 
@@ -172,9 +173,15 @@ def exact(rows: _Block, at: np.ndarray, anchors: _Block, a: int) -> np.ndarray:
     return (rows.numbers[at].astype(kind) @ anchors.numbers[a].astype(kind)).astype(np.int64)
 
 
-def _at_least(low: np.ndarray, most: int) -> float:
-    """The score that ``most`` rows are sure to reach."""
-    return -np.inf if len(low) < most else np.partition(low, len(low) - most)[len(low) - most]
+def _reached(rows, at, anchors, a, middle, most, floor=-np.inf, roof=np.inf) -> float:
+    """A score between ``floor`` and ``roof`` that ``most`` of the rows ``at`` are sure to reach, from
+    the exact scores of those in the middle of whose bounds is highest."""
+    inside = np.flatnonzero(middle <= roof)
+    if len(inside) > 2 * most:
+        inside = inside[np.argpartition(-middle[inside], 2 * most - 1)[: 2 * most]]
+    score = exact(rows, at[inside], anchors, a)
+    score = score[(score >= floor) & (score <= roof)]
+    return -np.inf if len(score) < most else np.partition(score, len(score) - most)[len(score) - most]
 
 
 def _nearest_in(rows: _Block, anchors: _Block, most: int):
@@ -189,7 +196,7 @@ def _nearest_in(rows: _Block, anchors: _Block, most: int):
             if len(at) <= most:
                 break
             low, high = bounds(rows, at, anchors, a, level)
-            at = at[high >= _at_least(low, most)]
+            at = at[high >= _reached(rows, at, anchors, a, low + high, most)]
         if len(at):
             score = exact(rows, at, anchors, a)
             best = np.lexsort((rows.ids[at], -score))[:most]
@@ -218,8 +225,7 @@ def _between_in(rows: _Block, anchors: _Block, most: int, percent: tuple[int, in
             needed = np.zeros(len(at), dtype=bool)
             for f, r in zip(floor, roof, strict=True):
                 within = (high >= f) & (low <= r)
-                sure = low[(low >= f) & (high <= r)]
-                needed |= within & (high >= _at_least(sure, most))
+                needed |= within & (high >= _reached(rows, at, anchors, a, (low + high) / 2, most, f, r))
             at = at[needed]
         if not len(own) or not len(at):
             continue

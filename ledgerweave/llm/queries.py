@@ -39,6 +39,37 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _for_documents(docs, found, "byte-digests")
 
 
+OP1_SQL = f"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+),
+windows AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * suffixes.LENGTH})) AS w
+  FROM (SELECT *, unnest(range(0, length(h) // 2 - {suffixes.LENGTH - 1})) AS i FROM d)
+),
+again AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+hits AS (SELECT doc_id, i FROM windows SEMI JOIN again USING (w)),
+places AS (
+  SELECT doc_id, substr(h, 2 * p + 1, 2) AS x, p
+  FROM (SELECT *, unnest(range(0, length(h) // 2)) AS p FROM d)
+),
+marked AS (
+  SELECT places.*, coalesce(p - hits.i < {suffixes.LENGTH}, false) AS gone
+  FROM places ASOF LEFT JOIN hits ON places.doc_id = hits.doc_id AND places.p >= hits.i
+),
+edges AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens
+  FROM marked
+)
+SELECT d.doc_id, count(x) AS n_bytes,
+       CAST(coalesce(sum(CASE WHEN gone THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(sum(CASE WHEN opens THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(string_agg(x, '' ORDER BY p) FILTER (NOT gone), ''))) AS kept_sha256
+FROM d LEFT JOIN edges ON edges.doc_id = d.doc_id
+GROUP BY d.doc_id
+"""
+
+
 def domains(labels: DataFrame) -> DataFrame:
     """The labelled table: junk has quality 0, toxic text is toxic and no junk."""
     name = (
@@ -290,6 +321,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_suffix_array_dedup": OP1_SQL,
     "op5_substring_dedup": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
     "op7_nearest_vectors": OP7_SQL,

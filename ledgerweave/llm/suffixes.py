@@ -328,11 +328,34 @@ def _sorted_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
     return [again[b : b + max(0, s - length + 1)] for b, s in zip(begin, sizes, strict=True)]
 
 
+def _counted_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
+    """The same as ``_sorted_starts`` for pieces that no gram parts: very many different ones around
+    one long gram, with a few starts each. Their strings are counted, those of some hashes at a
+    time, so that what is held stays near BLOCK_BYTES."""
+    out = [np.zeros(max(0, len(p) - length + 1), dtype=bool) for p in pieces]
+    turns = max(1, sum(map(len, out)) * length // BLOCK_BYTES)
+    for turn in range(turns):
+        first: dict[bytes, tuple[int, int]] = {}
+        for number, piece in enumerate(pieces):
+            for at in range(len(out[number])):
+                string = piece[at : at + length]
+                if hash(string) % turns != turn:
+                    continue
+                if string in first:
+                    other, place = first[string]
+                    out[number][at] = out[other][place] = True
+                else:
+                    first[string] = (number, at)
+    return out
+
+
 def repeated_starts(pieces: list[bytes], length: int, level: int = 0) -> list[np.ndarray]:
     """For each of different pieces, mask of the starts whose string starts elsewhere too, in
-    blocks of up to BLOCK_BYTES where grams allow."""
-    if sum(map(len, pieces)) <= BLOCK_BYTES or level == len(GRAMS):
+    blocks of up to BLOCK_BYTES."""
+    if sum(map(len, pieces)) <= BLOCK_BYTES:
         return _sorted_starts(pieces, length)
+    if level == len(GRAMS):
+        return _counted_starts(pieces, length)
     out = [np.zeros(max(0, len(p) - length + 1), dtype=bool) for p in pieces]
     runs = Runs(pieces, GRAMS[level], length)
     order, group = deal.repeated(runs.key >> _U(1))
@@ -412,7 +435,7 @@ def _send_pieces(batches, length: int, shards: int):
         order = np.argsort(shard, kind="stable")
         mine, shard = mine[order], shard[order]
         cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-        columns: dict[str, list] = {name: [] for name in ("count", "k1", "k2", "twice", "size", "data")}
+        columns: dict[str, list] = {name: [] for name in (*deal.HEADS, *PIECES)}
         heads = deal.heads(part)
         for begin, end in zip(cuts, np.append(cuts[1:], len(mine)), strict=True):
             own = mine[begin:end]
@@ -420,34 +443,46 @@ def _send_pieces(batches, length: int, shards: int):
             columns["count"].append(count.astype(np.int32).tobytes())
             for name, values in heads.items():
                 columns[name].append(values[doc].tobytes())
-            columns["size"].append((runs.count[own] + length - 1).astype(np.int32).tobytes())
-            columns["data"].append(
-                b"".join(
-                    texts[d][a : a + c + length - 1]
-                    for d, a, c in zip(runs.doc[own], runs.at[own], runs.count[own], strict=True)
-                )
-            )
+            # equal pieces of the chunk go once
+            number: dict[bytes, int] = {}
+            which = [
+                number.setdefault(texts[d][a : a + c + length - 1], len(number))
+                for d, a, c in zip(runs.doc[own], runs.at[own], runs.count[own], strict=True)
+            ]
+            for name, values in (
+                ("runs", [len(own)]), ("pieces", [len(number)]), ("which", which),
+                ("size", [len(piece) for piece in number]),
+            ):
+                columns[name].append(np.array(values, dtype=np.int32).tobytes())
+            columns["data"].append(b"".join(number))
         yield pa.RecordBatch.from_pydict(
             {"shard": pa.array(shard[cuts].astype(np.int32))}
             | {name: pa.array(values, pa.binary()) for name, values in columns.items()}
         )
 
 
+# of a row: how many runs and pieces it has, the piece of each run, and the pieces
+PIECES = {"runs": "<i4", "pieces": "<i4", "which": "<i4", "size": "<i4", "data": "u1"}
+
+
 def _meet_pieces(batches, length: int, buckets: int):
-    for got in deal.by_shard(batches, deal.HEADS | {"size": "<i4", "data": "u1"}):
+    for got in deal.by_shard(batches, deal.HEADS | PIECES):
         data, sizes = got.pop("data").tobytes(), got["size"]
         doc = np.repeat(np.arange(len(got["count"])), got["count"])
         ends = np.cumsum(sizes.astype(np.int64))
         number: dict[bytes, int] = {}
-        which = np.array(
-            [number.setdefault(data[e - s : e], len(number)) for e, s in zip(ends, sizes, strict=True)]
+        same = np.array(
+            [number.setdefault(data[e - s : e], len(number)) for e, s in zip(ends, sizes, strict=True)],
+            dtype=np.int64,
         )
         del data
+        place = got["which"] + np.repeat(np.cumsum(got["pieces"]) - got["pieces"], got["runs"])
+        which = same[place]
         weight = np.bincount(which, weights=1 + got["twice"][doc])
         masks = repeated_starts(list(number), length)
         for i in np.flatnonzero(weight > 1):
             masks[i] = np.ones(len(masks[i]), dtype=bool)
-        starts = sizes - length + 1
+        starts = sizes[place] - length + 1
         found = np.concatenate([masks[w] for w in which])
         yield deal.report(got, found, np.repeat(doc, starts), buckets)
 
@@ -505,7 +540,7 @@ def repeated_bytes(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     starts = deal.round_trip(
         texts.join(grams, KEY).mapInArrow(
             partial(_send_pieces, length=length, shards=shards),
-            deal.dealt_schema(*narrow, "size", "data"),
+            deal.dealt_schema(*narrow, *PIECES),
         ),
         shards, partial(_meet_pieces, length=length), "starts",
     )

@@ -197,3 +197,22 @@ def test_base64_is_encoded_whole(spark):
     blob = base64.b64encode(random.Random(1).randbytes(300_000)).decode()
     docs = spark.createDataFrame([(1, blob), (2, blob[:5])], "doc_id long, text string")
     assert {r["doc_id"] for r in bpe.digests(docs).filter("n_tokens > 0").collect()} == {1, 2}
+
+
+def test_characters_as_the_library_knows_them():
+    """Every character, alone and beside others, where Unicode tables of several versions differ."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_path())
+    own = bpe.codec(bpe.default_path())
+    disputed = sorted(bpe._tables().written)
+    assert disputed
+    pick = random.Random(3)
+    texts = [f"a{c}b {c}{c} 1{c}" for c in disputed[:3000]]
+    texts += [f"x{chr(c)}y {chr(c)}2" for c in range(0x100, 0x3000, 3)]
+    texts += ["".join(pick.choice([*pick.sample(disputed, 3), "a", "é", " ", "7", "!", "Σ", "ß", "İ"]) for _ in range(20)) for _ in range(2000)]
+    ids, ends = own.encode(texts)
+    begin = 0
+    for text, end, wanted in zip(texts, ends.tolist(), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids[begin:end].tolist() == wanted.ids, repr(text)
+        begin = end

@@ -150,6 +150,20 @@ def test_repeated_bytes(spark, odd, monkeypatch, block):
         assert list(mask) == [counts[piece[i : i + 200]] > 1 for i in range(len(piece) - 199)]
 
 
+def test_many_pieces_around_one_long_gram(monkeypatch):
+    """Different pieces that share 192 bytes and more, in blocks that no gram cuts."""
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 3_000)
+    pick = random.Random(3)
+    middle = bytes(pick.choice(b"abcd") for _ in range(195))
+    pieces = {bytes(pick.choice(b"xy") for _ in range(pick.randrange(9))) + middle + bytes(pick.choice(b"xy") for _ in range(8))
+              for _ in range(400)}
+    pieces = sorted(p for p in pieces if len(p) >= 200)
+    counts = Counter(p[i : i + 200] for p in pieces for i in range(len(p) - 199))
+    for found in (suffixes.repeated_starts(pieces, 200), suffixes._counted_starts(pieces, 200)):
+        assert [m.tolist() for m in found] == [[counts[p[i : i + 200]] > 1 for i in range(len(p) - 199)] for p in pieces]
+    assert len(pieces) > 100 and min(counts.values()) == 1 < max(counts.values())
+
+
 def test_remove_repeated_bytes(odd):
     of = plain_bytes([(t or "").encode() for _, t, _ in odd_rows()])
     found = suffixes.remove_repeated_bytes(odd)
@@ -506,7 +520,7 @@ def test_vectors_of_any_size_and_many_copies(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((60, 6))
     rows = [(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(base, [1e-300, 1.0, 1e200] * 20, strict=True))]
-    rows += [(1000 + i, [5.0, 1, 2, 3, 4, 5]) for i in range(300)] + [(1007, [5.0, 1, 2, 3, 4, 5])] * 40
+    rows += [(1000 + i, [5.0, 1.0, 2.0, 3.0, 4.0, 5.0]) for i in range(300)] + [(1007, [5.0, 1.0, 2.0, 3.0, 4.0, 5.0])] * 40
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
     found = {}
     for r in ann.nearest(df, df.filter("vec_id < 20 or vec_id in (1000, 1002, 1299)")).collect():

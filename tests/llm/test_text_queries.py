@@ -1,5 +1,11 @@
 """The registered queries of the text operators, and the pipeline stage by stage."""
 
+import hashlib
+import math
+import struct
+import zlib
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,9 +72,58 @@ def test_stages_on_odd_rows(spark):
     ]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        given = docs
         for name, stage in corpus_pipeline.STAGES:
-            docs = written(stage(spark, docs, SMALL), f"odd-{name}")[0]
-        assert docs.columns[0] == "doc_id"
+            before = docs
+            docs = written(stage(spark, before, SMALL), f"odd-{name}")[0]
+            if name == "encode":
+                assert docs.count() == before.count()
+                assert docs.filter("n_tokens <> size(ids)").count() == 0
+                assert docs.join(before.filter("text is null or trim(text) = ''"), "doc_id", "left_semi").filter("n_tokens > 0").count() == 0
+                continue
+            assert docs.columns == corpus_pipeline.COLUMNS
+            # no stage makes up a row: text and id stand in the stage's input, but for lines taken out
+            if name != "lines":
+                pairs = lambda df: {(r["doc_id"], r["text"]) for r in df.collect()}
+                assert pairs(docs) <= pairs(before), name
+            else:
+                assert docs.count() == before.count()
+        assert docs.columns[0] == "doc_id" and (given.count() > 0) >= (docs.count() > 0)
+
+
+def test_quality_stage_goes_by_text(spark):
+    """Rows of one text stay or go together, and a row stays if its score reaches the threshold."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    again = docs.withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs)
+    kept = corpus_pipeline.quality_stage(spark, again, SMALL)
+    counts = {r["text"]: r["n"] for r in again.groupBy("text").agg(F.count("*").alias("n")).collect()}
+    assert all(counts[r["text"]] == r["n"] for r in kept.groupBy("text").agg(F.count("*").alias("n")).collect())
+    assert 0 < kept.count() < again.count()
+
+
+def test_digests_of_stored_media(spark):
+    """The stored form of each document, made and read back here without the operator's code."""
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    for row in QUERIES["op3_media_columns"](spark, SMALL).collect():
+        text = docs[row["doc_id"]]
+        payload = text + bytes(max(64, -(-len(text) // 64) * 64) - len(text))
+        assert (row["n_bytes"], row["payload_bytes"]) == (len(text), len(payload))
+        assert row["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        assert row["tail_crc32"] == zlib.crc32(payload[-64:])
+        lines = b"".join(b"\0" + payload[i : i + 64] for i in range(0, len(payload), 64))
+        parts = [(b"IHDR", struct.pack(">IIBBBBB", 64, len(payload) // 64, 8, 0, 0, 0, 0)), (b"lnTh", struct.pack(">Q", len(text))),
+                 (b"IDAT", zlib.compress(lines, 6)), (b"IEND", b"")]
+        image = b"\x89PNG\r\n\x1a\n" + b"".join(
+            struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d)) for k, d in parts
+        )
+        assert (row["media_bytes"], row["media_sha256"]) == (len(image), hashlib.sha256(image).hexdigest())
+        counts = Counter(payload)
+        mean = sum(v * n for v, n in counts.items()) / len(payload)
+        spread = sum(v * v * n for v, n in counts.items()) / len(payload) - mean * mean
+        entropy = -sum(n / len(payload) * math.log2(n / len(payload)) for n in counts.values())
+        said = dict(part.split("=") for part in row["feature"].split()[1:])
+        assert row["feature"].startswith(f"64x{len(payload) // 64} ")
+        assert [float(said[k]) for k in ("mean", "var", "entropy")] == pytest.approx([mean, spread, entropy], abs=1e-3)
 
 
 def test_each_group_of_rows_keeps_one(spark):
