@@ -26,7 +26,12 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject.
+
+    Each row is judged by its text alone, so repeated rows and rows that share an id stay or go by
+    their texts; null and empty texts have the score of the classifier's bias. A null id teaches
+    nothing. Scores of exactly the threshold stay.
+    """
     labels = table(spark, sf_dir, "labels").filter(fold("doc_id") != 0)
     scored = quality.score_quality(docs, labels)
     return scored.filter(F.col("predicted") == 1).select(*COLUMNS)
@@ -67,7 +72,11 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rate says, so that domains have their target shares."""
+    """Documents as often as their rate says, so that domains have their target shares.
+
+    Equal texts have equal rates and copies, whatever their ids, and repeated rows are each given
+    as often. Null and empty texts count no tokens; they get a rate from the classifier's bias.
+    """
     labelled = domains(table(spark, sf_dir, "labels")).filter(F.col("domain").isin(*TARGETS))
     mixed = mixing.mix(docs, labelled, TARGETS, total_factor=TOTAL_FACTOR, relative=True)
     copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
@@ -75,7 +84,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text."""
+    """The ids of each text, a row for each row; null and empty texts have none."""
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
