@@ -5,16 +5,16 @@ signs are its code, packed in words of 64 bits. With x the code as a vector of l
 rotated vector and q a rotated query, <x, q> / <x, o> estimates <o, q>. The error is below
 ``sqrt((1 - <x, o>^2) / <x, o>^2) * EPSILON / sqrt(bits - 1)`` but for a small chance.
 
-A query is rounded to ``LEVELS`` steps, of which each binary digit is a plane of bits. Its product
+A query is rounded to whole steps, of whose numbers each binary digit is a plane of bits. Its product
 with a code is then a sum of population counts of the code's words with the planes; what rounding
 can add to the error is added to the bound.
 
-Blocks of queries meet blocks of codes in a grid. Only codes and their <x, o> move there. A cell
-gives, for each query, the vectors whose upper bound reaches the lower bounds of enough others; of all
-cells' bounds the best decide once more. What is left is joined to its original vector and
-compared exactly. Of equal vectors those with the smallest ids stand for all, as no query can have
-others of them among its nearest: so a vector that a third of all rows share is a few rows. Nothing is drawn, fitted or sampled but the rotation, which follows from a seed,
-so all vectors are indexed and all are candidates.
+Blocks of queries meet blocks of vectors in a grid; a cell is one task's work and yields a few rows
+for each query of the block. The vectors with the highest estimates are compared exactly; of the
+others those whose upper bound reaches a score that is then already reached. Of equal vectors those
+with the smallest ids stand for all, as no query can have others of them among its nearest: so a
+vector that a third of all rows share is a few rows. Nothing is drawn, fitted or sampled but the
+rotation, which follows from a seed, so all vectors are indexed and all are candidates.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ BITS = 256
 EPSILON = 2.5
 SEED = 7
 PLANES = 4  # binary digits of a rounded query's numbers
-QUERY_BLOCK = 512
+QUERY_BLOCK = 2048
 VECTOR_BLOCK = 8192
 NEAREST = 5
 
@@ -101,14 +101,6 @@ def _marks(vectors: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(np.ascontiguousarray(v).tobytes()) >> 1 for v in vectors]
 
 
-def _marked(batches: Iterable[pa.RecordBatch], dimension: int):
-    for batch in batches:
-        marks = _marks(_matrix(batch.column("vector"), dimension))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(marks, pa.int64())], names=[*batch.schema.names, "mark"]
-        )
-
-
 def _smallest_ids(ids: np.ndarray, vectors: np.ndarray, most: int) -> np.ndarray:
     """Places of the rows that are among the ``most`` smallest ids of their vector."""
     rows = np.ascontiguousarray(vectors)
@@ -132,12 +124,12 @@ def _fewer(batches: Iterable[pa.RecordBatch], dimension: int, most: int):
 
 
 def _block_rows(batches: Iterable[pa.RecordBatch], dimension: int, bits: int, ask: bool, copies: int):
-    """One row for each block (a task holds one): packed ids, marks, and codes and their products,
+    """One row for each block (a task holds one): packed ids, vectors, and codes and their products,
     or of queries the rotated vectors. Equal rows count once, and go as they come; of equal vectors
     the ``copies`` smallest ids stay in a block of codes."""
     turn = rotation(dimension, bits)
     seen: dict[tuple[int, int], None] = {}
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     block = 0
     for batch in batches:
         if not batch.num_rows:
@@ -152,27 +144,45 @@ def _block_rows(batches: Iterable[pa.RecordBatch], dimension: int, bits: int, as
                 new.append(i)
         vectors = scaled(vectors[new])
         if ask:
-            parts.append(((vectors / _length(vectors)[:, None]) @ turn, np.zeros(len(new))))
+            turned = (vectors / _length(vectors)[:, None]) @ turn
+            parts.append((turned, np.zeros(len(new)), vectors))
         else:
-            parts.append(encode(vectors, turn))
+            parts.append((*encode(vectors, turn), vectors))
     if not seen:
         return
-    first, second = (np.concatenate(x) for x in zip(*parts, strict=True))
+    first, second, vectors = (np.concatenate(x) for x in zip(*parts, strict=True))
     ids, marks = (np.array([k[i] for k in seen], dtype=np.int64) for i in (0, 1))
     kept = np.arange(len(ids)) if ask else _smallest_ids(ids, marks[:, None], copies)
-    columns = {"ids": ids[kept], "marks": marks[kept], "codes": first[kept], "products": second[kept]}
+    columns = {
+        "ids": ids[kept], "codes": first[kept], "products": second[kept], "vectors": vectors[kept],
+    }
     yield pa.RecordBatch.from_pydict(
         {"number": pa.array([block], pa.int32())}
         | {k: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for k, x in columns.items()}
     )
 
 
-def _least_of_best(low: np.ndarray, most: int) -> float:
-    return -np.inf if len(low) < most else np.partition(low, len(low) - most)[len(low) - most]
+def _nearest(query, turned, other, ids, codes, products, vectors, length, most):
+    """Places and scores of a block's nearest vectors, among those of ``other`` ids."""
+    enough = min(most, int(other.sum()))
+    if not enough:
+        return np.zeros(0, dtype=np.int64), np.zeros(0)
+    estimate, off = estimates(codes, products, turned)
+    own = math.sqrt((query * query).sum())
 
+    def exact(at):
+        return (vectors[at] * query).sum(axis=1) / (length[at] * own)
 
-def _cells(batches: Iterable[pa.RecordBatch], bits: int, most: int):
-    """For each query of a cell the vectors that may be among its nearest, with their bounds."""
+    first = np.argpartition(np.where(other, -estimate, np.inf), enough - 1)[:enough]
+    reached = exact(first).min()  # that many vectors score at least this
+    at = np.union1d(np.flatnonzero(other & (estimate + off >= reached)), first)
+    scores = exact(at)
+    best = np.lexsort((ids[at], -scores))[:most]
+    return at[best], scores[best]
+
+
+def _cells(batches: Iterable[pa.RecordBatch], dimension: int, bits: int, most: int):
+    """The nearest vectors of a cell for each of its queries."""
 
     def numbers(row, name, kind):
         return np.frombuffer(row.column(name)[0].as_py(), dtype=kind)
@@ -180,36 +190,23 @@ def _cells(batches: Iterable[pa.RecordBatch], bits: int, most: int):
     for many in batches:
         for i in range(many.num_rows):
             cell = many.slice(i, 1)
-            ids, marks = numbers(cell, "ids", np.int64), numbers(cell, "marks", np.int64)
+            ids = numbers(cell, "ids", np.int64)
             codes = numbers(cell, "codes", np.uint64).reshape(len(ids), -1)
             products = numbers(cell, "products", np.float64)
-            q_ids, q_marks = numbers(cell, "q_ids", np.int64), numbers(cell, "q_marks", np.int64)
+            vectors = numbers(cell, "vectors", np.float64).reshape(-1, dimension)
+            length = _length(vectors)
+            q_ids = numbers(cell, "q_ids", np.int64)
+            queries = numbers(cell, "q_vectors", np.float64).reshape(-1, dimension)
             turned = numbers(cell, "q_codes", np.float64).reshape(len(q_ids), bits)
             found = []
-            for q_id, q_mark, query in zip(q_ids, q_marks, turned, strict=True):
-                estimate, off = estimates(codes, products, query)
-                at = np.flatnonzero(ids != q_id)
-                low, high = (estimate - off)[at], (estimate + off)[at]
-                keep = high >= _least_of_best(low, most)
-                at = at[keep]
-                found.append((np.full(len(at), q_id), np.full(len(at), q_mark), ids[at], marks[at],
-                              low[keep], high[keep]))
+            for q_id, query, turn in zip(q_ids, queries, turned, strict=True):
+                at, score = _nearest(query, turn, ids != q_id, ids, codes, products, vectors, length, most)
+                found.append((np.full(len(at), q_id), ids[at], score))
             if found:
-                names = ("q", "q_mark", "id", "mark", "low", "high")
-                columns = [np.concatenate(x) for x in zip(*found, strict=True)]
-                table = pa.table(dict(zip(names, columns, strict=True)))
-                yield from table.to_batches(max_chunksize=100_000)
-
-
-def _compared(batches: Iterable[pa.RecordBatch], dimension: int):
-    for batch in batches:
-        one = scaled(_matrix(batch.column("q_vector"), dimension))
-        two = scaled(_matrix(batch.column("vector"), dimension))
-        score = (one * two).sum(axis=1) / (_length(one) * _length(two))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("q"), batch.column("q_mark"), batch.column("id"), pa.array(score)],
-            names=["q", "q_mark", "id", "score"],
-        )
+                q, v, s = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_pydict(
+                    {"q": pa.array(q), "id": pa.array(v), "score": pa.array(s)}
+                )
 
 
 def _usable(table: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -274,14 +271,14 @@ def nearest(
         dealt = rows.withColumn("block", F.pmod(F.xxhash64(*by), F.lit(n)).cast("int"))
         made = dealt.repartitionById(n, "block").mapInArrow(
             partial(_block_rows, dimension=dimension, bits=bits, ask=ask, copies=most + 1),
-            "number int, ids binary, marks binary, codes binary, products binary",
+            "number int, ids binary, codes binary, products binary, vectors binary",
         )
         return written(made, name)[0], n
 
     codes, n_codes = blocks(every, VECTOR_BLOCK, "code-blocks", False)
     rotated, n_queries = blocks(asked, QUERY_BLOCK, "query-blocks", True)
     columns = rotated.select(
-        *[F.col(c).alias(f"q_{c}") for c in ("ids", "marks", "codes")],
+        *[F.col(c).alias(f"q_{c}") for c in ("ids", "codes", "vectors")],
         F.col("number").alias("b"),
         F.explode(F.sequence(F.lit(0), F.lit(n_codes - 1))).alias("a"),
     )
@@ -289,39 +286,12 @@ def nearest(
         "b", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))
     )
     cells = rows.join(columns.hint("shuffle_merge"), ["a", "b"]).drop("a", "b")
-    bounded, _ = written(
-        cells.mapInArrow(
-            partial(_cells, bits=bits, most=most),
-            "q long, q_mark long, id long, mark long, low double, high double",
-        ),
-        "bounds",
-    )
-    # the bounds of all cells together leave fewer than those of each
-    query = ["q", "q_mark"]
-    by_low = Window.partitionBy(*query).orderBy(F.desc("low"))
-    reached = (
-        bounded.withColumn("place", F.row_number().over(by_low))
-        .filter(F.col("place") <= most)
-        .groupBy(*query)
-        .agg(F.when(F.count(F.lit(1)) == most, F.min("low")).alias("reached"))
-    )
-    near = bounded.join(reached, query).filter("reached is null or high >= reached")
-    call = partial(_marked, dimension=dimension)
-    kinds = "id long, vector array<double>, mark long"
-    originals = every.mapInArrow(call, kinds).dropDuplicates(["id", "mark"])
-    questions = asked.mapInArrow(call, kinds).dropDuplicates(["id", "mark"]).select(
-        F.col("id").alias("q"), F.col("mark").alias("q_mark"), F.col("vector").alias("q_vector")
-    )
-    compared = (
-        near.select(*query, "id", "mark")
-        .join(originals, ["id", "mark"])
-        .join(questions, query)
-        .mapInArrow(partial(_compared, dimension=dimension), "q long, q_mark long, id long, score double")
+    found = cells.mapInArrow(
+        partial(_cells, dimension=dimension, bits=bits, most=most), "q long, id long, score double"
     )
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     return (
-        compared.select("q", "id", "score")
-        .distinct()
+        found.distinct()
         .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= most)
         .select(F.col("q").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
