@@ -4,7 +4,9 @@ import datetime as dt
 import os
 import random
 from collections import defaultdict
+from decimal import Decimal
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 from test_streaming import EVENTS, START, Landing, event
@@ -47,6 +49,66 @@ def test_state_holds_active_keys_only(spark, folder):
     assert spark.read.parquet(f"{folder}/out").count() >= 150 and state < 50 * 4
 
 
+def expired(batches, delay, idle):
+    """What one run per batch gives, by a plain dict: rows first, then timers, then the new watermark's."""
+    out, state, mark = [], {}, 0
+    for batch in batches:
+        newest = mark
+        for key, millis, cents in batch:
+            old = state.get(key, (0, 0, None))
+            times = [x for x in (old[2], millis) if x is not None]
+            state[key] = (old[0] + 1, old[1] + (cents or 0), max(times, default=None))
+            newest = max([newest] + ([] if millis is None else [millis - delay]))
+        state = {k: (n, total, mark - idle if last is None else last) for k, (n, total, last) in state.items()}
+        for mark in (mark, newest):
+            gone = {k for k, v in state.items() if v[2] + idle <= mark}
+            out += [(k, *state.pop(k)) for k in gone]
+    return sorted(out, key=repr), state
+
+
+def test_state_is_kept_by_the_bucket(spark, folder):
+    """Calls of Python and rows of state go by buckets of keys; results are those of single keys."""
+    pick = random.Random(3)
+    keys = [None, 2**53 + 1, 2**53 + 2, *range(4000)]
+    batches = [
+        [(k, 1000 * (200 * n + pick.randrange(90)) + 7 if pick.random() < 0.9 else None, pick.choice([None, -5, 10**37]))
+         for k in pick.sample(keys, 3000) + keys[:3] for _ in range(pick.choice([1, 1, 3]))]
+        for n in range(4)
+    ]
+    landing = Landing(spark, folder)
+    schema = "user_id bigint, ts timestamp_ntz, units decimal(38,0)"
+    for batch in batches:
+        data = [(k, m if m is None else dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=m), u and Decimal(u)) for k, m, u in batch]
+        stream = landing.add(spark.createDataFrame(data, schema))
+        result = stateful.expiring_totals(stream, "user_id", "units", "ts", "20 seconds", 100)
+        query = sources.run_available(result, f"{folder}/out", f"{folder}/state")
+    found = [
+        (k, n, int(total), round(1000 * last.replace(tzinfo=dt.timezone.utc).timestamp()))
+        for k, n, total, last in spark.read.parquet(f"{folder}/out").collect()
+    ]
+    want, left = expired(batches, 20_000, 100_000)
+    assert sorted(found, key=repr) == want and len(want) > 2500
+    operators = query.lastProgress["stateOperators"]
+    # a value and a timer, listed twice, for each bucket
+    assert len(left) > 1500 and sum(s["numRowsTotal"] for s in operators) <= 3 * stateful.BUCKETS
+
+
+def test_totals_of_idle_keys_have_38_digits(spark, folder):
+    """Sums may pass 38 digits on the way; a total of more is an error."""
+    landing = Landing(spark, folder)
+    schema = "user_id bigint, ts timestamp_ntz, units decimal(38,0)"
+
+    def deliver(amounts):
+        data = [(1, at(i), Decimal(x) * 10**37) for i, x in enumerate(amounts)]
+        stream = landing.add(spark.createDataFrame(data, schema).coalesce(1))
+        return landing.run(stateful.expiring_totals(stream, "user_id", "units", "ts", "0 minutes", 600))
+
+    deliver([9, 9, 9, -9, -9])
+    deliver([-9, -9])
+    with pytest.raises(Exception, match="38 digits"):
+        deliver([9, 9, 9])
+
+
 def shuffled_files(spark, folder, parts=4):
     """Events of four files whose names and modification times are not in event order."""
     pick = random.Random(5)
