@@ -16,6 +16,7 @@ from ledgerweave.sources.ledger import Ledger
 from ledgerweave.streaming import busykeys, provisional, stateful, windows
 
 IDLE_DAYS = 2
+FILE_ROWS = 500_000  # of the files that are taken in event order
 
 # A key's rows of one part are one batch, after which timers go by the newest time so far. A total is
 # closed after the first part whose mark has passed the key's last row by the idle time.
@@ -63,6 +64,21 @@ def expiring_totals(t: Ledger) -> DataFrame:
     return read().withColumn("total", F.col("total").cast("bigint"))
 
 
+def _shuffled(t: Ledger, events: DataFrame) -> tuple[str, int]:
+    """A folder of files whose names are not in event order, and how many make up a part's worth.
+
+    A file holds consecutive events, so those of a part can be taken together or one after the other.
+    """
+    folder = scratch_path(t.spark, "shuffled")
+    rows = events.withColumn("file", F.pmod(F.col("part") * 3 + 2, F.lit(PARTS)))
+    # a task sorts what it writes, so that is as many rows whatever the table has; equal times may be
+    # cut, as the watermark stays behind them
+    slices = max(1, -(-events.count() // (PARTS * FILE_ROWS)))
+    ranges = rows.repartitionByRange(PARTS * slices, "part", "ts", "event_id")
+    ranges.write.partitionBy("file").parquet(folder)
+    return folder, slices + 1  # a range that two parts share is two files
+
+
 @plan(f"""
     SELECT date_trunc('hour', ts) AS window_start,
            date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type,
@@ -74,9 +90,7 @@ def expiring_totals(t: Ledger) -> DataFrame:
 def ordered_counts(t: Ledger) -> DataFrame:
     """Hourly counts over files that were written in another order than that of their events."""
     events, _ = _parted(t.events)
-    folder = scratch_path(t.spark, "shuffled")
-    rows = events.withColumn("file", F.pmod(F.col("part") * 3 + 2, F.lit(PARTS)))
-    rows.repartition(1).write.partitionBy("file").parquet(folder)
+    folder, together = _shuffled(t, events)
     session = _streaming(t).spark
     schema = events.drop("part").schema
     log = scratch_path(t.spark, "file-order")
@@ -86,7 +100,7 @@ def ordered_counts(t: Ledger) -> DataFrame:
     done = []
 
     def once():
-        stream = ordered.ordered_source(session, folder, schema, "ts", log)
+        stream = ordered.ordered_source(session, folder, schema, "ts", log, files_per_batch=together)
         done.append(run(sources.with_event_time(stream, "ts")))
         return done[-1]
 

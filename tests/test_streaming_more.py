@@ -11,8 +11,10 @@ from conftest import rows
 from pyspark.sql import functions as F
 from test_streaming import EVENTS, START, Landing, event
 
+from ledgerweave.plans import streams_more
 from ledgerweave.sources import ordered
 from ledgerweave.sources import streams as sources
+from ledgerweave.sources.ledger import Ledger
 from ledgerweave.streaming import provisional, stateful, windows
 
 
@@ -152,6 +154,34 @@ def test_files_in_event_order_close_the_same_windows(spark, folder):
     assert found() == closed([*data, *late])
 
 
+def test_files_of_ordered_counts_are_bounded(spark, folder, monkeypatch):
+    """No task writes, and no file has, much more than FILE_ROWS; equal and null times too."""
+    pick = random.Random(6)
+    data = [event(i, pick.randrange(3000) if i % 3 else 2222, value=float(i % 50)) for i in range(3000)]
+    data += [(i, None, 1, "view", 1.0, "{}") for i in range(3000, 3600)]
+    pick.shuffle(data)
+    spark.createDataFrame(data, EVENTS).coalesce(1).write.parquet(f"{folder}/events.parquet")
+    monkeypatch.setattr(streams_more, "FILE_ROWS", 150)
+    t = Ledger(spark, folder)
+    events, _ = streams_more._parted(t.events)
+    written, together = streams_more._shuffled(t, events)
+    files = spark.read.parquet(written).groupBy(F.input_file_name()).agg(F.count("*"), F.min("ts"), F.max("ts")).collect()
+    assert sum(f[1] for f in files) == 3600 and max(f[1] for f in files) <= 300
+    times = sorted((f[3], f[2]) for f in files if f[3])
+    assert all(low >= high for (high, _), (_, low) in zip(times, times[1:]))
+
+    def once():
+        stream = ordered.ordered_source(spark, written, EVENTS, "ts", f"{folder}/log", together)
+        counted = windows.tumbling_counts(sources.with_event_time(stream, "ts"), "ts", "10 minutes", "1 hour", [], "value", 2)
+        return sources.run_available(counted, f"{folder}/out", f"{folder}/state")
+
+    # as many runs as there are parts at most, and one that finds no more
+    assert ordered.drained(once) <= streams_more.PARTS + 1
+    found = spark.read.parquet(f"{folder}/out").collect()
+    got = sorted((r["window_start"].replace(tzinfo=None), r["n_events"]) for r in found)
+    assert got == closed([r for r in data if r[1] is not None]) and len(got) > 40
+
+
 def test_modification_times_lose_windows(spark, folder):
     """What the source is for: by modification time rows of whole files are late."""
     data = shuffled_files(spark, folder)
